@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, tokens
+from . import credentials, exact, packing, quality, tokens
 from .common import default_tokenizer
 
 
@@ -15,6 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents"), default_tokenizer())
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = credentials.scan(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(
+        F.col("id").alias("doc_id"), *[count(k) for k in credentials.BASE],
+        F.sha2(credentials.joined(F.filter("found", lambda s: s["kind"].isin(*credentials.BASE))), 256).alias("base_sha256"),
+        credentials.joined(F.col("found")).alias("spans"),
+        F.size(F.filter("found", lambda s: s["partner_kind"].isNotNull())).cast("long").alias("n_linked"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -29,6 +48,10 @@ WINDOW w AS (PARTITION BY folded)
 """
 
 
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.encode_decode(_table(spark, sf_dir, "documents"), default_tokenizer())
     return out.select(
