@@ -1,22 +1,51 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage works on all that the one before it kept. Stages: quality rules (documents that they reject go), exact
+dedup, n-gram Jaccard join (of each group of near copies the document with the smallest id stays), secret scans
+(spans are masked in the text), packing (one row per piece of a sequence).
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from dendroscan.llm import exact
+from dendroscan.llm import credentials, exact, jaccard, packing, quality
+from dendroscan.llm.common import default_tokenizer, shared_dir
+
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
-STAGES = [("exact dedup", dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_first(docs, k=5, num=80, den=100)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return credentials.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, default_tokenizer()).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("secret scans", mask_secrets), ("packing", pack)]
+
+#: Tokenising and the divergence of histograms aren't SQL; the tests compare run() with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over documents, each one's result written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
     return docs

@@ -65,14 +65,15 @@ def _ranges(kind: str, more: tuple) -> str:
 
 
 @lru_cache(maxsize=1)
-def _pattern() -> str:
+def _pattern() -> re.Pattern:
     """What the pre-tokenizer keeps: contractions, runs of letters, single numbers, runs of anything else but spaces."""
     letter, number = _ranges("L", _LETTERS_16), _ranges("N", _NUMBERS_16)
-    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+")
 
 
 #: Capitals of Unicode 16 and 17 (first, last, step, distance to the small letter).
 _CASES_17 = ((0x1C89, 0x1C89, 1, 1), (0xA7CB, 0xA7CB, 1, -42343), (0xA7CC, 0xA7D4, 2, 1), (0xA7DA, 0xA7DA, 1, 1), (0xA7DC, 0xA7DC, 1, -42561), (0x10D50, 0x10D65, 1, 32), (0x16EA0, 0x16EB8, 1, 27))
+_NEW_CAPITALS = re.compile("[\ua7cb-\ua7dc\u1c89\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
 
 
 class MergeAutomaton:
@@ -192,6 +193,36 @@ class MergeAutomaton:
         return out
 
 
+def chunks(text: str) -> list[str]:
+    """The text's parts between white space."""
+    if any(c in text for c in _NOT_SPACE):
+        return [c for c in _SPACES.split(text) if c]
+    return text.split()
+
+
+def _lower(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    if "Σ" in text or _NEW_CAPITALS.search(text):  # one code point at a time: the tokenizer knows no context such as a final sigma
+        return "".join(map(_one_lower, text))
+    return text.lower()
+
+
+def _one_lower(c: str) -> str:
+    return next((chr(ord(c) + d) for a, b, step, d in _CASES_17 if a <= ord(c) <= b and (ord(c) - a) % step == 0), None) or c.lower()
+
+
+def pieces(chunk: str) -> list[str] | tuple[str, ...]:
+    """The words of a chunk without white space and special tokens, as they are merged: composed, in lower case."""
+    low = _lower(chunk)
+    if low.isalpha():
+        return (low,)
+    if (head := low[:-1]).isalpha() and (last := low[-1]).isascii() and not last.isalnum():  # a word and one mark
+        return head, last
+    return _pattern().findall(low)
+
+
 class _Recent(dict):
     """What ``make`` gives for a text; what was used lately is kept: up to ``bound`` entries in each of two generations."""
 
@@ -232,8 +263,6 @@ class WordBpe:
         for t, i in (*self.vocab.items(), *self.special.items()):
             self.labels[i] = t
         self._symbols = dict(enumerate(_byte_symbols()))
-        self._split = re.compile(_pattern())
-        self._cases = re.compile("[\ua7cb-\ua7dc\u1c89\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
         self._chunks = _Recent(self.encode_chunk, cache_chunks)
         self._pieces = _Recent(self._piece, cache_chunks // 2)
 
@@ -243,37 +272,16 @@ class WordBpe:
             ids.byteswap()
         return ids.tobytes()
 
-    def _lower(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text or self._cases.search(text):  # one code point at a time: the tokenizer knows no context such as a final sigma
-            return "".join(map(self._one_lower, text))
-        return text.lower()
-
-    def _one_lower(self, c: str) -> str:
-        return next((chr(ord(c) + d) for a, b, step, d in _CASES_17 if a <= ord(c) <= b and (ord(c) - a) % step == 0), None) or c.lower()
-
     def encode_chunk(self, chunk: str) -> bytes:
         if self._special and "<" in chunk:
             parts = self._special.split(chunk)
             if len(parts) > 1:
                 return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self.encode_chunk(x) for x in parts if x)
-        low, pieces = self._lower(chunk), self._pieces
-        if low.isalpha():
-            return pieces[low]
-        if (head := low[:-1]).isalpha() and (last := low[-1]).isascii() and not last.isalnum():  # a word and one mark
-            return pieces[head] + pieces[last]
-        return b"".join(map(pieces.__getitem__, self._split.findall(low)))
-
-    def chunks(self, text: str) -> list[str]:
-        if any(c in text for c in _NOT_SPACE):
-            return [c for c in _SPACES.split(text) if c]
-        return text.split()
+        return b"".join(map(self._pieces.__getitem__, pieces(chunk)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text is an empty one."""
-        return b"".join(map(self._chunks.__getitem__, self.chunks(text))) if text else b""
+        return b"".join(map(self._chunks.__getitem__, chunks(text))) if text else b""
 
     def count(self, text: str | None) -> int:
         return len(self.encode(text)) >> 2

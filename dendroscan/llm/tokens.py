@@ -3,65 +3,81 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import END_OF_WORD, chunks, codec, pieces
 from .common import in_batches, tokenizer_source
 
 
 class LibraryIds:
-    """Ids by the tokenizers library, which sees each white-space delimited word once while it is remembered.
+    """Ids by the tokenizers library, which sees each word once while it is remembered.
 
-    Tokens of such a file never hold white space, so a text's ids are those of its words in turn. Words that aren't
-    remembered are encoded together, parted by a special token. ``bound`` entries in each of two generations
-    are kept; this bounds memory and changes no result.
+    For a file whose tokens hold no white space and whose words end in a token of their own kind, a text's ids are
+    those of its words in turn. Words that aren't remembered go to the library together; the ends of words part
+    their ids. ``bound`` entries in each of two generations are kept; this bounds memory and changes no result.
     """
 
-    def __init__(self, source: str, bound: int = 250_000):
+    def __init__(self, source: str, bound: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark = next(iter(self.special), None)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for t, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = t.endswith(END_OF_WORD)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.bound = bound
 
-    def _alone(self, text: str) -> bytes:
+    def _ids(self, text: str):
         import numpy as np
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         import numpy as np
 
-        odd = {w for w in words if self.mark is None or any(x in w for x in self.special)}
-        plain = [w for w in words if w not in odd] if odd else words
-        got = {w: self._alone(w) for w in odd}
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.special[self.mark]).tolist(), len(ids)]
+        odd = {c for c in chunks if "<" in c and any(x in c for x in self.special)}
+        parts: dict[str, str | tuple] = {}  # chunk -> its one word, or several
+        for c in chunks:
+            if c.isascii() and (low := c.lower()).isalpha():
+                parts[c] = low
+            elif c not in odd:
+                p = pieces(c)
+                parts[c] = p[0] if len(p) == 1 else p
+        known = self.words
+        if len(known) > 2 * self.bound:
+            known.clear()
+        asked = set()
+        for p in parts.values():
+            asked.add(p) if type(p) is str else asked.update(p)
+        asked = list(asked.difference(known))
+        for at in range(0, len(asked), 4096):
+            some = asked[at : at + 4096]
+            ids = self._ids(" ".join(some))
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             blob, start = ids.tobytes(), 0
             for w, end in zip(some, ends, strict=True):
-                got[w] = blob[4 * start : 4 * end]
-                start = end + 1
-        return got
+                known[w] = blob[start:end]
+                start = end
+        got = {c: known[p] if type(p) is str else b"".join([known[w] for w in p]) for c, p in parts.items()}
+        return got | {c: self._ids(c).tobytes() for c in odd}
 
     def texts(self, texts: list[str | None], words_at_once: int = 400_000) -> Iterator[bytes]:
         """Ids of each text as little-endian uint32; a null text is an empty one."""
         group: list[list[str]] = []
         held = 0
         for t in texts:
-            words = _words(t) if t else []
+            words = chunks(t) if t else []
             group.append(words)
             held += len(words)
             if held >= words_at_once:
@@ -89,16 +105,6 @@ class LibraryIds:
             self.old, self.new = {}, {}
 
 
-_ODD = "\x1c\x1d\x1e\x1f"  # str.split() parts words here, the tokenizer doesn't
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-
-
-def _words(text: str) -> list[str]:
-    if any(c in text for c in _ODD):
-        return [w for w in _SPACES.split(text) if w]
-    return text.split()
-
-
 @lru_cache(maxsize=2)
 def library(source: str) -> LibraryIds:
     """One per Python worker and tokenizer file."""
