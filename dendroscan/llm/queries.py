@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, exact, jaccard, packing, pii, quality, tokens, warc
+from . import credentials, exact, jaccard, packing, passages, pii, quality, tokens, warc
 from .common import default_tokenizer
 
 
@@ -104,6 +104,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op7_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.read(warc.write(_table(spark, sf_dir, "pages")))
     return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
