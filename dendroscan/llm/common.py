@@ -30,6 +30,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """The rows, marked for a broadcast if a count shows that there are ``rows`` of them at most (some 15 MB of ids and
+    digests); more are left to a shuffle. What is counted should be cheap to compute twice."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that for pure ASCII and is much faster than translate()."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -18,12 +18,12 @@ its largest component after that is compared with the whole cluster, block by bl
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, comb, exp
+from math import ceil, comb, exp, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_side
 from .graph import components
 
 LEVEL = 1.5
@@ -135,11 +135,13 @@ def _levels(a: int, num: int, den: int) -> list[int]:
 
 @lru_cache(maxsize=1024)
 def block_count(top: int, num: int, den: int) -> int:
-    """Blocks of a level of sets up to the size ``top``: as few as leave 1.75 times as many blocks with elements as
-    can differ; small sets, where chance weighs more, get more of them."""
-    differ = (den - num) / (den + num) * (1 + den / num)
-    each = 5.0
-    while each > 0.5 and (1 - exp(-each)) / each < 1.75 * differ:
+    """Blocks of a level of sets up to the size ``top``: so few that they hold several elements each, yet so many
+    that by seven standard deviations 1.15 times as many hold any as can differ. Small sets get more blocks."""
+    need, each = most_apart(top, num, den) + 1, 6.0
+    while each > 0.5:
+        blocks, empty = top / each, exp(-each)
+        if blocks * (1 - empty) - 7 * sqrt(blocks * empty * (1 - (1 + each) * empty)) >= 1.15 * need:
+            break
         each -= 0.05
     return max(ceil(top / each), min(2 * top, 48))
 
@@ -160,7 +162,8 @@ def heavy_keys(s, common, num: int, den: int):
                 continue
             block = (part >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            if domain == 2 and found >= 2 * need:  # a similar set has enough blocks without common elements, too
+            # sets that have no block in common have no more blocks than can differ, both of them
+            if domain == 2 and found >= need:
                 break
             found = len(starts)
             sums = np.add.reduceat(mix(part), starts)[:need]
@@ -180,26 +183,31 @@ def keys_of(s, common, num: int, den: int):
     return np.unique(np.concatenate(out))
 
 
-def matches(x, flat, starts, sizes, num: int, den: int):
-    """Which of the sets, laid end to end in ``flat``, are similar to x."""
-    import numpy as np
+class Lists:
+    """Inverted lists over some sets."""
 
-    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-    both = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
-    return np.flatnonzero(den * both >= num * (len(x) + sizes - both))
+    def __init__(self, sets):
+        import numpy as np
 
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.elements, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-def _laid(sets):
-    import numpy as np
+    def similar(self, x, num: int, den: int):
+        """Places of the sets that are similar to x."""
+        import numpy as np
 
-    sizes = np.array([len(s) for s in sets], np.int64)
-    return np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes
+        lo, hi = np.searchsorted(self.elements, x, "left"), np.searchsorted(self.elements, x, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(den * both >= num * (len(x) + self.sizes - both))
 
 
 def local_roots(sets, num: int, den: int) -> list[int]:
     """For each set, the first set of its component."""
-    flat, starts, sizes = _laid(sets)
-    root = list(range(len(sets)))
+    lists, root = Lists(sets), list(range(len(sets)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -208,14 +216,15 @@ def local_roots(sets, num: int, den: int) -> list[int]:
         return i
 
     for i in range(len(sets)):
-        for j in matches(sets[i], flat, starts, sizes, num, den).tolist():
+        for j in lists.similar(sets[i], num, den).tolist():
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(sets))]
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, k: int):
-    """(id, n, digest, name) of each row."""
+def _sets(df: DataFrame, id_col: str, text_col: str, k: int, share: float, window: int = 4000) -> DataFrame:
+    """(id, n, digest, name) of each row; and, without digest, (n: minus the documents, name: the element) of the
+    elements that are frequent among ``window`` documents in a row."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -223,8 +232,17 @@ def _sets(df: DataFrame, id_col: str, text_col: str, k: int):
     arrow = to_arrow_type(kind)
 
     def run(batches):
+        import numpy as np
         import xxhash
 
+        held = []
+
+        def often():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            on = n >= max(3, len(held) * share / 2)
+            m = int(on.sum())
+            return pa.RecordBatch.from_arrays([pa.nulls(m, arrow), pa.array(-n[on].astype(np.int64)), pa.nulls(m, pa.binary()), pa.array(h[on].view(np.int64) if m else [], pa.int64())], ["id", "n", "digest", "name"])
+
         for batch in batches:
             ns, digests, names = [], [], []
             for t in batch.column(1).to_pylist():
@@ -232,39 +250,24 @@ def _sets(df: DataFrame, id_col: str, text_col: str, k: int):
                 ns.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(raw))
                 names.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
+                held.append(s)
+                if len(held) >= window:
+                    yield often()
+                    held.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(names, pa.int64())], ["id", "n", "digest", "name"])
+        if len(held) >= window / 10:  # too few say nothing
+            yield often()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, n long, digest binary, name long")
 
 
-def common_elements(df: DataFrame, text_col: str, k: int, share: float, window: int = 1000):
-    """Sorted hashes of elements that about ``share`` of the documents have: no more than the mean set size over
-    ``share``. Counted by windows; which of the doubtful ones are in changes the cost only."""
+def common_elements(table: DataFrame, documents: int, share: float):
+    """Sorted hashes of elements that about ``share`` of the documents have: no more than twice the mean set
+    size over ``share``, 10 MB for sets of 600. Which of the doubtful ones are in changes the cost only."""
     import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        held, docs = [], 0
-
-        def counted():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(3, docs * share / 2)
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(shingles(t, k))
-                docs += 1
-                if docs >= window:
-                    yield counted()
-                    held, docs = [], 0
-        if docs >= window / 10:  # too few say nothing
-            yield counted()
-
-    counts = df.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    least = max(df.count() * share, 3.0)
-    got = [r.h for r in counts.where(F.col("n") >= least).select("h").collect()]
-    return np.sort(np.array(got, np.int64).view(np.uint64))
+    counts = table.where("digest is null").groupBy("name").agg((-F.sum("n")).alias("n")).where(F.col("n") >= max(documents * share / 2, 3.0))
+    return np.sort(np.array([r.name_ for r in counts.select(F.col("name").alias("name_")).collect()], np.int64).view(np.uint64))
 
 
 def _postings(df: DataFrame, text_col: str, k: int, num: int, den: int, common) -> DataFrame:
@@ -328,7 +331,7 @@ def _stars(postings: DataFrame) -> DataFrame:
     return postings.repartition(n, "key").sortWithinPartitions("key", "name").mapInArrow(run, "a long, b long").distinct()
 
 
-def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_in_task: int = 512, pivots: int = 64, share: float = 0.002) -> DataFrame:
+def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_in_task: int = 4096, pivots: int = 64, share: float = 0.001) -> DataFrame:
     """One row per input row: ``id``, ``n_shingles``, ``component_id`` (smallest id reachable by links, itself
     included), ``n_same`` (rows with the very same set).
 
@@ -336,18 +339,18 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing. Ids may repeat and may be null; a component without any other id has a null one. An empty table gives
     no rows; other columns are ignored.
     """
-    docs = durable(_sets(df, id_col, text_col, k))
+    table = durable(_sets(df, id_col, text_col, k, share))
+    docs = table.where("digest is not null")
     same = docs.where("n > 0").groupBy("digest", "name", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
-    common = common_elements(df, text_col, k, share)
+    common = common_elements(table, docs.count(), share)
     clusters = components(_stars(_postings(df, text_col, k, num, den, common)))
-    members = durable(same.join(clusters.withColumnRenamed("node", "name").withColumnRenamed("component", "cluster"), "name").select("digest", "rep", "n", "cluster"))
-    sized = members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster")
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    rows = sized.join(texts, sized.rep.eqNullSafe(texts.rep)).select("cluster", "members", "digest", "text")
-    small = rows.where(F.col("members") <= cluster_in_task)
-    linked = _in_tasks(small, k, num, den)
-    if members.groupBy("cluster").count().where(F.col("count") > cluster_in_task).limit(1).count():
-        linked = linked.unionByName(_in_blocks(rows.where(F.col("members") > cluster_in_task), k, num, den, pivots))
+    members = same.join(clusters.withColumnRenamed("node", "name").withColumnRenamed("component", "cluster"), "name").select("digest", "rep", "cluster")
+    sized = durable(members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    linked = _in_tasks(_with_text(sized.where(F.col("members") <= cluster_in_task), texts), k, num, den)
+    large = sized.where(F.col("members") > cluster_in_task)
+    if large.limit(1).count():
+        linked = linked.unionByName(_in_blocks(_with_text(large, texts), k, num, den, pivots))
     # every set's own digest, or that of its component's first
     root = same.join(linked, "digest", "left").select("digest", "rep", "n_same", F.coalesce("root", "digest").alias("root"))
     ids = root.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -359,6 +362,12 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _with_text(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cluster, members, digest, text): some sets with the texts of the rows that have their representative's id."""
+    sets = small_side(sets)
+    return texts.join(sets, texts.id.eqNullSafe(sets.rep)).select("cluster", "members", "digest", "text")
+
+
 def _in_tasks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(digest, root) of clusters that a task can hold."""
     import pyarrow as pa
@@ -390,50 +399,62 @@ def _in_tasks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.select("cluster", "digest", "text").repartition(n, "cluster").sortWithinPartitions("cluster", "digest").mapInArrow(run, "digest binary, root binary")
 
 
-def _compared(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): similar sets of rows (digest, raw, others: array of structs of digest and raw)."""
+def _meet(few: DataFrame, members: DataFrame, num: int, den: int, dealt: int = 2048) -> DataFrame:
+    """(a, b): similar sets. ``few``: (cluster, part, digest, raw), a bounded number for each part; each part meets all
+    members of its cluster, which are dealt out ``dealt`` at a time."""
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
+        now, held, lists = None, {}, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
-                others = batch.column(2)[i].as_py()
-                hit = matches(x, *_laid([np.frombuffer(o["raw"], np.uint64) for o in others]), num, den)
-                a = batch.column(0)[i].as_py()
-                got = [others[j]["digest"] for j in hit.tolist() if others[j]["digest"] != a]
+            for cluster, part, salt, late, digest, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, part, salt) != now:
+                    now, held, lists = (cluster, part, salt), {}, None
+                if not late:
+                    held[digest] = np.frombuffer(raw, np.uint64)
+                    continue
+                if not held:
+                    continue
+                if lists is None:
+                    names, lists = list(held), Lists(list(held.values()))
+                got = [names[j] for j in lists.similar(np.frombuffer(raw, np.uint64), num, den).tolist() if names[j] != digest]
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([a] * len(got), pa.binary()), pa.array(got, pa.binary())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(got), pa.binary()), pa.array(got, pa.binary())], ["a", "b"])
 
-    return pairs.select("digest", "raw", "others").mapInArrow(run, "a binary, b binary")
+    n = int(few.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.col("members") / dealt).cast("int")
+    left = few.select("cluster", "part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("late"), "digest", "raw")
+    right = members.join(few.select("cluster", "part").distinct(), "cluster").select("cluster", "part", F.pmod(F.hash("digest"), salts).alias("salt"), F.lit(True).alias("late"), "digest", "raw")
+    both = left.unionByName(right).repartition(n, "cluster", "part", "salt").sortWithinPartitions("cluster", "part", "salt", "late", "digest")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
-def _in_blocks(rows: DataFrame, k: int, num: int, den: int, pivots: int, block: int = 64) -> DataFrame:
-    """(digest, root) of clusters of any size. A row meets ``pivots`` or ``block`` sets at a time."""
-    import xxhash
+def _in_blocks(rows: DataFrame, k: int, num: int, den: int, pivots: int, block: int = 1024) -> DataFrame:
+    """(digest, root) of clusters of any size: a task holds ``pivots`` sets, or about ``block``, and a stream of others."""
+    import pyarrow as pa
+
+    def run(batches):
+        import xxhash
 
-    @F.udf("binary")
-    def raw(text, digest):
-        got = shingles(text, k).tobytes()
-        return got if xxhash.xxh3_128_digest(got) == bytes(digest) else None
+        for batch in batches:
+            for cluster, members, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = shingles(text, k).tobytes()
+                if xxhash.xxh3_128_digest(raw) == digest:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((cluster, pa.int64()), (members, pa.int64()), (digest, pa.binary()), (raw, pa.binary()))], ["cluster", "members", "digest", "raw"])
 
-    sets = durable(rows.select("cluster", "members", "digest", raw("text", "digest").alias("raw")).where(F.col("raw").isNotNull()).dropDuplicates(["digest"]))
+    sets = durable(rows.mapInArrow(run, "cluster long, members long, digest binary, raw binary").dropDuplicates(["digest"]))
     order = Window.partitionBy("cluster").orderBy(F.xxhash64("digest"), "digest")
-    first = sets.select("cluster", "digest").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots).drop("nth")
-    pair = F.struct("digest", "raw")
-    chosen = sets.join(first, ["cluster", "digest"], "left_semi").groupBy("cluster").agg(F.collect_list(pair).alias("others"))
-    edges = durable(_compared(sets.join(chosen, "cluster"), num, den))
+    first = sets.select("cluster", "digest").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots).select("digest")
+    chosen = sets.join(first, "digest", "left_semi").withColumn("part", F.lit(0).cast("long"))
+    edges = durable(_meet(chosen, sets, num, den))
     label = components(edges)
     labelled = durable(sets.join(label, sets.digest == label.node, "left").select("cluster", "members", "digest", "raw", F.coalesce("component", "digest").alias("label")))
     largest = labelled.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", "label"))["label"].alias("largest"))
     outside = labelled.join(largest, "cluster").where("label <> largest")
-    # blocks of about `block` sets, dealt by hash
     parts = outside.withColumn("part", F.pmod(F.xxhash64("digest"), F.greatest(F.ceil(F.col("members") / block), F.lit(1))))
-    parts = parts.groupBy("cluster", "part").agg(F.collect_list(pair).alias("others"))
-    more = _compared(labelled.join(parts, "cluster"), num, den)
-    final = components(edges.unionByName(more))
+    final = components(edges.unionByName(_meet(parts, labelled, num, den)))
     return final.select(F.col("node").alias("digest"), F.col("component").alias("root"))
 
 
@@ -441,5 +462,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``df`` that have their component's id, or no shingles: one document of each group. Rows that
     repeat an id with the same text stay together; a null id stays."""
     out = similarity_components(df, id_col, text_col, **options)
-    gone = out.where(F.col("component_id").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("component_id")))).select(F.col("id").alias("gone_id")).where("gone_id is not null").distinct()
+    gone = durable(out.where(F.col("component_id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias("gone_id")).distinct())
+    gone = small_side(gone)
     return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
