@@ -19,7 +19,6 @@ follows the arcs, longest label first, and never visits a position twice: time i
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import sys
@@ -29,7 +28,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 #: Code points that the tokenizer's ``\s`` takes for white space, and that str.split() also splits at.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = re.compile(f"[{_SPACE}]+")
 END_OF_WORD = "</w>"
@@ -195,7 +194,7 @@ class MergeAutomaton:
 
 def chunks(text: str) -> list[str]:
     """The text's parts between white space."""
-    if any(c in text for c in _NOT_SPACE):
+    if any(c in text for c in NOT_SPACE):
         return [c for c in _SPACES.split(text) if c]
     return text.split()
 
@@ -264,9 +263,9 @@ class WordBpe:
             self.labels[i] = t
         self._symbols = dict(enumerate(_byte_symbols()))
         self._chunks = _Recent(self.encode_chunk, cache_chunks)
-        self._pieces = _Recent(self._piece, cache_chunks // 2)
+        self._pieces = _Recent(self.encode_word, cache_chunks // 2)
 
-    def _piece(self, piece: str) -> bytes:
+    def encode_word(self, piece: str) -> bytes:
         ids = array("I", self.automaton.walk(self.automaton.symbols(piece.encode().decode("latin-1").translate(self._symbols))))
         if sys.byteorder == "big":
             ids.byteswap()
@@ -292,11 +291,3 @@ class WordBpe:
         if sys.byteorder == "big":
             got.byteswap()
         return " ".join(map(self.labels.__getitem__, got))
-
-
-@lru_cache(maxsize=2)
-def codec(source: str) -> WordBpe:
-    """One compiled codec per Python worker and tokenizer file."""
-    made = WordBpe(source)
-    gc.freeze()  # the tables stay: no need to look through them again and again
-    return made

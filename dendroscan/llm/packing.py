@@ -8,6 +8,8 @@ Sequences are cut from the gapless stream of all tokens along the curve, so only
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +83,12 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
 
         def rows():
             for batch in batches:
-                names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                names, found = batch.column(0).to_pylist(), ids.texts(batch.column(1))
                 for at in range(0, len(names), 512):
-                    docs = [np.concatenate((np.frombuffer(x, "<u4"), end)) for x in ids.texts(texts[at : at + 512])]
+                    some = names[at : at + 512]
+                    docs = [np.concatenate((x, end)) for x in islice(found, len(some))]
                     curve = hilbert_index(project(docs))
-                    for name, doc, index in zip(names[at : at + 512], docs, curve.tolist(), strict=True):
+                    for name, doc, index in zip(some, docs, curve.tolist(), strict=True):
                         tie = xxhash.xxh3_64_intdigest(repr(name)) >> (64 - TIE_BITS)
                         blob = squeeze.compress(doc.astype("<u2").tobytes() if doc.max() < 1 << 16 else doc.tobytes())
                         yield name, blob, len(doc), index << TIE_BITS | tie

@@ -9,109 +9,184 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import END_OF_WORD, chunks, codec, pieces
+from .bpe import END_OF_WORD, NOT_SPACE, WordBpe, chunks, pieces
 from .common import in_batches, tokenizer_source
 
 
-class LibraryIds:
-    """Ids by the tokenizers library, which sees each word once while it is remembered.
+class ChunkIds:
+    """Ids of texts, where each word is encoded once while it is remembered.
 
     For a file whose tokens hold no white space and whose words end in a token of their own kind, a text's ids are
-    those of its words in turn. Words that aren't remembered go to the library together; the ends of words part
-    their ids. ``bound`` entries in each of two generations are kept; this bounds memory and changes no result.
+    those of its chunks between white space, and a chunk's those of its words. ``bound`` chunks in each of two
+    generations, and twice as many words, are kept; this bounds memory and changes no result.
     """
 
+    def __init__(self, special: list[str], bound: int = 400_000):
+        self.special, self.bound = special, bound
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of some words as pieces() gives them."""
+        raise NotImplementedError
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that holds a special token."""
+        raise NotImplementedError
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that aren't remembered."""
+        known, got, asked, waiting = self.words, {}, set(), []
+        if len(known) > 2 * self.bound:
+            known.clear()
+        for c in words:
+            if c.isascii() and c.isalpha():
+                w = c.lower()
+                blob = known.get(w)
+                if blob is None:
+                    asked.add(w)
+                    waiting.append((c, (w,)))
+                else:
+                    got[c] = blob
+            elif "<" in c and any(x in c for x in self.special):
+                got[c] = self.encode_chunk(c)
+            else:
+                parts = pieces(c)
+                asked.update([w for w in parts if w not in known])
+                waiting.append((c, parts))
+        more = list(asked)
+        known.update(zip(more, self.encode_words(more), strict=True))
+        for c, parts in waiting:
+            got[c] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
+        return got
+
+    def _blobs(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some different chunks."""
+        new, old = self.new, self.old
+        if len(new) > self.bound:
+            self.old = old = new
+            self.new = new = {}
+        out = [new.get(w) for w in words]
+        miss = [w for w, b in zip(words, out, strict=True) if b is None]
+        if miss:
+            again = {w: b for w in miss if (b := old.get(w)) is not None}
+            new.update(again)
+            new.update(self._learn([w for w in miss if w not in again] if again else miss))
+            out = [new[w] if b is None else b for w, b in zip(words, out, strict=True)]
+        return out
+
+    def texts(self, texts, at_once: int = 2000) -> Iterator:
+        """Ids of each text, an array of uint32; a null text is an empty one. ``texts``: Arrow strings or a list. Arrow
+        splits them and numbers their different chunks, so that only these are looked up in Python."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "")
+        start = 0
+        while start < len(column):
+            some, size = column.slice(start, at_once), at_once
+            while size > 1 and some.nbytes > 32 << 20:  # very long texts
+                size //= 4
+                some = column.slice(start, max(size, 1))
+            start += len(some)
+            if pc.any(pc.match_substring_regex(some, f"[{NOT_SPACE}]")).as_py():  # Arrow parts words there, the tokenizer doesn't
+                split = pa.array([chunks(t) for t in some.to_pylist()], pa.list_(pa.string()))
+            else:
+                split = pc.utf8_split_whitespace(some)
+            coded = split.flatten().dictionary_encode()
+            blobs = self._blobs(coded.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
+            flat, begins = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(sizes) - sizes
+            which = coded.indices.to_numpy()
+            n = sizes[which]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            ids = flat[np.repeat(begins[which] - ends[:-1], n) + np.arange(ends[-1])]
+            bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield ids[a:b]
+
+
+class LibraryIds(ChunkIds):
+    """Words are encoded by the tokenizers library, many at a time; the ends of words part their ids."""
+
     def __init__(self, source: str, bound: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_str(source), Tokenizer.from_str(source)
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        super().__init__([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], bound)
+        self.plain.model._clear_cache()
+        self.plain.model._resize_cache(0)  # no word comes twice
+        # what pieces() gives is composed, in lower case and split: a space is all there is left to do
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for t, i in self.tokenizer.get_vocab().items():
             self.ends[i] = t.endswith(END_OF_WORD)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.bound = bound
 
-    def _ids(self, text: str):
+    def _ids(self, text: str, tokenizer):
         import numpy as np
 
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
-        odd = {c for c in chunks if "<" in c and any(x in c for x in self.special)}
-        parts: dict[str, str | tuple] = {}  # chunk -> its one word, or several
-        for c in chunks:
-            if c.isascii() and (low := c.lower()).isalpha():
-                parts[c] = low
-            elif c not in odd:
-                p = pieces(c)
-                parts[c] = p[0] if len(p) == 1 else p
-        known = self.words
-        if len(known) > 2 * self.bound:
-            known.clear()
-        asked = set()
-        for p in parts.values():
-            asked.add(p) if type(p) is str else asked.update(p)
-        asked = list(asked.difference(known))
-        for at in range(0, len(asked), 4096):
-            some = asked[at : at + 4096]
-            ids = self._ids(" ".join(some))
+        out = []
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = self._ids(" ".join(some), self.plain)
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer's words don't end in tokens of their own kind")
             blob, start = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                known[w] = blob[start:end]
+            for end in ends:
+                out.append(blob[start:end])
                 start = end
-        got = {c: known[p] if type(p) is str else b"".join([known[w] for w in p]) for c, p in parts.items()}
-        return got | {c: self._ids(c).tobytes() for c in odd}
-
-    def texts(self, texts: list[str | None], words_at_once: int = 400_000) -> Iterator[bytes]:
-        """Ids of each text as little-endian uint32; a null text is an empty one."""
-        group: list[list[str]] = []
-        held = 0
-        for t in texts:
-            words = chunks(t) if t else []
-            group.append(words)
-            held += len(words)
-            if held >= words_at_once:
-                yield from self._group(group)
-                group, held = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        new, old = self.new, self.old
-        miss: set[str] = set()
-        for words in group:
-            miss.update(words)
-        miss = miss.difference(new)
-        again = miss.intersection(old)
-        more = self._learn(list(miss - again))
-        more |= {w: old[w] for w in again}
-        if len(new) + len(more) > self.bound:
-            self.old = new
-            kept = {w: new[w] for words in group for w in words if w in new}
-            self.new = new = kept
-        new.update(more)
-        for words in group:
-            yield b"".join(map(new.__getitem__, words))
-        if len(new) > 2 * self.bound:  # words of a single group
-            self.old, self.new = {}, {}
+        return out
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        return self._ids(chunk, self.tokenizer).tobytes()
+
+
+class AutomatonIds(ChunkIds):
+    """Words are encoded along the automaton's paths."""
+
+    def __init__(self, source: str, bound: int = 400_000):
+        self.bpe = WordBpe(source)
+        super().__init__(list(self.bpe.special), bound)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        return [self.bpe.encode_word(w) for w in words]
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        return self.bpe.encode_chunk(chunk)
 
 
 @lru_cache(maxsize=2)
 def library(source: str) -> LibraryIds:
     """One per Python worker and tokenizer file."""
+    return _settled(LibraryIds(source))
+
+
+@lru_cache(maxsize=2)
+def automaton(source: str) -> AutomatonIds:
+    """One per Python worker and tokenizer file."""
+    return _settled(AutomatonIds(source))
+
+
+def _settled(made):
     import gc
 
-    made = LibraryIds(source)
-    gc.freeze()
+    gc.freeze()  # the tables stay: no need to look through them again and again
+    gc.set_threshold(1_000_000, 50, 50)  # lists of words hold no cycles
     return made
 
 
@@ -129,7 +204,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     schema = pa.schema([("id", to_arrow_type(kind)), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):
-        bpe = codec(source)
+        bpe = automaton(source).bpe
 
         def rows():
             for batch in batches:
@@ -148,7 +223,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids):
-        return ids.map(lambda x: codec(source).decode(bytes(x)) if x is not None else "")
+        return ids.map(lambda x: automaton(source).bpe.decode(bytes(x)) if x is not None else "")
 
     return df.withColumn("decoded", text(F.col(ids_col)))
 
@@ -162,7 +237,7 @@ def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text") -> Data
     def run(batches):
         ids = library(source)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) >> 2 for x in ids.texts(batch.column(0).to_pylist())], pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in ids.texts(batch.column(0))], pa.int64())], ["n_tokens"])
 
     return df.select(F.col(text_col).alias("text")).mapInArrow(run, "n_tokens long")
 

@@ -45,7 +45,9 @@ def test_every_code_point(bpe, library):
 def test_library_words_give_the_same_ids(bpe, tokenizer, small):
     ids = tokens.LibraryIds(tokens.tokenizer_source(tokenizer), bound=200)
     texts = [*random_texts(bpe.vocab), None, *[r.text for r in small.collect()]]
-    assert list(ids.texts(texts, words_at_once=1000)) == [bpe.encode(t) for t in texts]
+    assert [x.tobytes() for x in ids.texts(texts, at_once=100)] == [bpe.encode(t) for t in texts]
+    spaces = [f"a{chr(c)}b" for c in range(0x3100)]
+    assert [x.tobytes() for x in ids.texts(spaces, at_once=50)] == [bpe.encode(t) for t in spaces]
 
 
 def plain_bpe(word, merges):
