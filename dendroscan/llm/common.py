@@ -53,6 +53,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(os.environ.get("DENDROSCAN_TOKENIZER", "word_bpe_49k.json"))
 
 
+_memories: dict = {}
+_at_work = ""
+
+
+def remembers(owner: str, forget) -> None:
+    """Names what gives back the memory that an operator keeps in a Python worker from task to task."""
+    _memories[owner] = forget
+
+
+def at_work(owner: str) -> None:
+    """Called when a task begins: a worker that served another operator gives that one's memory back."""
+    global _at_work
+    if _at_work == owner:
+        return
+    _at_work = owner
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for name, forget in _memories.items():
+        if name != owner:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def rows_of(batch, step: int = 256) -> Iterator[tuple]:
+    """The rows of an Arrow batch, a few at a time: texts are never all there twice."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
+
+
 def in_batches(rows: Iterable[tuple], schema, weight, limit: int = 4 << 20) -> Iterator:
     """Arrow batches of rows, each closed when its weight passes the limit: memory is bounded by one row more."""
     import pyarrow as pa

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fold_ascii
+from .common import durable, fold_ascii, small_side
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 1 / 1024, carry: list[str] | None = None) -> DataFrame:
@@ -57,5 +57,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that exact_dedup keeps, with the columns of ``df``."""
-    return exact_dedup(df, id_col, text_col).where("kept").select("row.*")
+    """The rows that exact_dedup keeps, with the columns of ``df``.
+
+    Decisions are made on ids and digests alone; then each text's digest is looked up among those of groups with
+    copies. Texts move only if these groups are too many for a broadcast, or to leave one of rows alike in id and text.
+    """
+    found = exact_dedup(df, id_col, text_col, carry=[id_col])
+    groups = durable(found.where("kept and group_size > 1").select(F.unhex("text_sha256").alias("digest"), "keep_id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, F.col(id_col).alias("id"), F.unhex(F.sha2(fold_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("digest"))
+    met = rows.join(small_side(groups.withColumn("copied", F.lit(True))), "digest", "left")
+    alone = met.where("copied is null").select("row")
+    best = met.where("copied and id <=> keep_id").dropDuplicates(["digest"]).select("row")
+    return alone.unionByName(best).select("row.*")

@@ -11,7 +11,8 @@ Elements that are common all over the corpus are left out of the blocks, for the
 them; sets that have too little else use all of their elements too.
 
 Sets that share a key form clusters, found by linking each list to its first member. All links lie inside clusters.
-A small cluster is compared in one task. A large one is compared with a fixed number of pivots; what falls outside
+A small cluster is compared in one task. The sets of a large one are listed again without the elements that are
+frequent in it. A cluster that is large still is compared with a fixed number of pivots; what falls outside
 its largest component after that is compared with the whole cluster, block by block.
 """
 
@@ -23,7 +24,7 @@ from math import ceil, comb, exp, sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_side
+from .common import at_work, durable, remembers, rows_of, small_side
 from .graph import components
 
 LEVEL = 1.5
@@ -46,13 +47,14 @@ class Words(dict):
         import xxhash
 
         got = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = got
         return got
 
 
 _WORDS = Words()
+remembers("shingles", _WORDS.clear)
 
 
 def word_hashes(text: str | None):
@@ -222,7 +224,7 @@ def local_roots(sets, num: int, den: int) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, k: int, share: float, window: int = 4000) -> DataFrame:
+def _sets(df: DataFrame, id_col: str, text_col: str, k: int, share: float, window: int = 2000) -> DataFrame:
     """(id, n, digest, name) of each row; and, without digest, (n: minus the documents, name: the element) of the
     elements that are frequent among ``window`` documents in a row."""
     import pyarrow as pa
@@ -235,6 +237,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, k: int, share: float, windo
         import numpy as np
         import xxhash
 
+        at_work("shingles")
         held = []
 
         def often():
@@ -245,7 +248,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, k: int, share: float, windo
 
         for batch in batches:
             ns, digests, names = [], [], []
-            for t in batch.column(1).to_pylist():
+            for _, t in rows_of(batch):
                 raw = (s := shingles(t, k)).tobytes()
                 ns.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(raw))
@@ -270,7 +273,30 @@ def common_elements(table: DataFrame, documents: int, share: float):
     return np.sort(np.array([r.name_ for r in counts.select(F.col("name").alias("name_")).collect()], np.int64).view(np.uint64))
 
 
-def _postings(df: DataFrame, text_col: str, k: int, num: int, den: int, common) -> DataFrame:
+def _frequent(texts: DataFrame, k: int, least: int = 8, most: int = 500_000):
+    """Sorted hashes of the elements that ``least`` of some texts have; the ``most`` frequent ones if there are more."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            held = [shingles(t, k) for (t,) in rows_of(batch)]
+            if held:
+                h, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = counts.orderBy(F.desc("n"), "h").limit(most)
+    return np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _sized(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(digest, name, rep, cluster, members) of the sets that are in a cluster."""
+    got = sets.select("digest", "name", "rep").join(clusters.withColumnRenamed("node", "name").withColumnRenamed("component", "cluster"), "name")
+    return durable(got.join(got.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster").select("digest", "name", "rep", "cluster", "members"))
+
+
+def _postings(texts: DataFrame, k: int, num: int, den: int, common) -> DataFrame:
     """(key, name) of each distinct set; a task lists a set that it has listed before only now and then."""
     import pyarrow as pa
 
@@ -278,6 +304,7 @@ def _postings(df: DataFrame, text_col: str, k: int, num: int, den: int, common)
         import numpy as np
         import xxhash
 
+        at_work("shingles")
         seen: set[int] = set()
         for batch in batches:
             keys, names, counts = [], [], []
@@ -285,7 +312,7 @@ def _postings(df: DataFrame, text_col: str, k: int, num: int, den: int, common)
             def out():
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), counts))], ["key", "name"])
 
-            for t in batch.column(0).to_pylist():
+            for (t,) in rows_of(batch):
                 s = shingles(t, k)
                 if not len(s):
                     continue
@@ -304,7 +331,7 @@ def _postings(df: DataFrame, text_col: str, k: int, num: int, den: int, common)
             if keys:
                 yield out()
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, name long")
+    return texts.select("text").mapInArrow(run, "key long, name long")
 
 
 def _stars(postings: DataFrame) -> DataFrame:
@@ -343,14 +370,18 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = table.where("digest is not null")
     same = docs.where("n > 0").groupBy("digest", "name", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
     common = common_elements(table, docs.count(), share)
-    clusters = components(_stars(_postings(df, text_col, k, num, den, common)))
-    members = same.join(clusters.withColumnRenamed("node", "name").withColumnRenamed("component", "cluster"), "name").select("digest", "rep", "cluster")
-    sized = durable(members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster"))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    linked = _in_tasks(_with_text(sized.where(F.col("members") <= cluster_in_task), texts), k, num, den)
-    large = sized.where(F.col("members") > cluster_in_task)
-    if large.limit(1).count():
-        linked = linked.unionByName(_in_blocks(_with_text(large, texts), k, num, den, pivots))
+    sized = _sized(same, components(_stars(_postings(texts, k, num, den, common))))
+    is_large = F.col("members") > cluster_in_task
+    if sized.where(is_large).limit(1).count():
+        # what holds a large cluster together is left out of the blocks of its sets: its own frequent elements
+        large = sized.where(is_large)
+        inside = _with_text(large, texts).select("text")
+        finer = components(_stars(_postings(inside, k, num, den, _frequent(inside, k))))
+        sized = durable(sized.where(~is_large).unionByName(_sized(large.drop("cluster", "members"), finer)))
+    linked = _in_tasks(_with_text(sized.where(~is_large), texts), k, num, den)
+    if sized.where(is_large).limit(1).count():
+        linked = linked.unionByName(_in_blocks(_with_text(sized.where(is_large), texts), k, num, den, pivots))
     # every set's own digest, or that of its component's first
     root = same.join(linked, "digest", "left").select("digest", "rep", "n_same", F.coalesce("root", "digest").alias("root"))
     ids = root.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -376,6 +407,7 @@ def _in_tasks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
         import numpy as np
         import xxhash
 
+        at_work("shingles")
         now, held = None, {}
 
         def out():
@@ -384,7 +416,7 @@ def _in_tasks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([digests[r] for r in roots], pa.binary())], ["digest", "root"])
 
         for batch in batches:
-            for cluster, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, digest, text in rows_of(batch):
                 if cluster != now:
                     if held:
                         yield out()
@@ -409,7 +441,7 @@ def _meet(few: DataFrame, members: DataFrame, num: int, den: int, dealt: int = 2
 
         now, held, lists = None, {}, None
         for batch in batches:
-            for cluster, part, salt, late, digest, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, part, salt, late, digest, raw in rows_of(batch):
                 if (cluster, part, salt) != now:
                     now, held, lists = (cluster, part, salt), {}, None
                 if not late:
@@ -439,7 +471,7 @@ def _in_blocks(rows: DataFrame, k: int, num: int, den: int, pivots: int, block:
         import xxhash
 
         for batch in batches:
-            for cluster, members, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, members, digest, text in rows_of(batch):
                 raw = shingles(text, k).tobytes()
                 if xxhash.xxh3_128_digest(raw) == digest:
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((cluster, pa.int64()), (members, pa.int64()), (digest, pa.binary()), (raw, pa.binary()))], ["cluster", "members", "digest", "raw"])

@@ -13,7 +13,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_batches, tokenizer_source
+from .common import at_work, durable, in_batches, rows_of, tokenizer_source
 from .tokens import library
 
 DIMS, BITS, BUCKETS, TIE_BITS = 3, 10, 256, 16
@@ -79,6 +79,7 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         import xxhash
         import zstandard
 
+        at_work("tokens")
         ids, squeeze, end = library(source), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4")
 
         def rows():
@@ -140,7 +141,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_
         def rows():
             now, at = None, 0
             for batch in batches:
-                for p, name, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for p, name, blob, n in rows_of(batch):
                     if p != now:
                         now, at = p, base[p]
                     raw = restore.decompress(blob)

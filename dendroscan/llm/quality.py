@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import at_work
+
 # Common words by language, one list each.
 COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er so dass kann nach wie bei sie aus um noch nur wir über einen oder am hat".split(),
@@ -174,6 +176,7 @@ def assess(df: DataFrame, refs: dict | None = None, lang_col: str = "lang", text
     def judge(lang, text):
         import pyarrow as pa
 
+        at_work("quality")
         cols: list[list] = [[] for _ in range(9)]
         for code, t in zip(lang.to_pylist(), text.to_pylist(), strict=True):
             counts, place, hist = base_counts(t)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import END_OF_WORD, NOT_SPACE, WordBpe, chunks, pieces
-from .common import in_batches, tokenizer_source
+from .common import at_work, in_batches, remembers, tokenizer_source
 
 
 class ChunkIds:
@@ -21,7 +21,7 @@ class ChunkIds:
     generations, and twice as many words, are kept; this bounds memory and changes no result.
     """
 
-    def __init__(self, special: list[str], bound: int = 400_000):
+    def __init__(self, special: list[str], bound: int = 150_000):
         self.special, self.bound = special, bound
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,7 +76,7 @@ class ChunkIds:
             out = [new[w] if b is None else b for w, b in zip(words, out, strict=True)]
         return out
 
-    def texts(self, texts, at_once: int = 2000) -> Iterator:
+    def texts(self, texts, at_once: int = 1000) -> Iterator:
         """Ids of each text, an array of uint32; a null text is an empty one. ``texts``: Arrow strings or a list. Arrow
         splits them and numbers their different chunks, so that only these are looked up in Python."""
         import numpy as np
@@ -112,24 +112,24 @@ class ChunkIds:
 class LibraryIds(ChunkIds):
     """Words are encoded by the tokenizers library, many at a time; the ends of words part their ids."""
 
-    def __init__(self, source: str, bound: int = 400_000):
+    def __init__(self, source: str, bound: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_str(source), Tokenizer.from_str(source)
-        for t in (self.tokenizer, self.plain):
-            t.no_truncation()
-            t.no_padding()
-        super().__init__([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], bound)
+        self.source, self.plain = source, Tokenizer.from_str(source)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        super().__init__([t.content for t in self.plain.get_added_tokens_decoder().values()], bound)
         self.plain.model._clear_cache()
         self.plain.model._resize_cache(0)  # no word comes twice
         # what pieces() gives is composed, in lower case and split: a space is all there is left to do
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for t, i in self.tokenizer.get_vocab().items():
+        self.ends = np.zeros(self.plain.get_vocab_size() + 1, bool)
+        for t, i in self.plain.get_vocab().items():
             self.ends[i] = t.endswith(END_OF_WORD)
+        self.whole = None
 
     def _ids(self, text: str, tokenizer):
         import numpy as np
@@ -153,13 +153,19 @@ class LibraryIds(ChunkIds):
         return out
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return self._ids(chunk, self.tokenizer).tobytes()
+        if self.whole is None:  # rarely needed
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_str(self.source)
+            self.whole.no_truncation()
+            self.whole.no_padding()
+        return self._ids(chunk, self.whole).tobytes()
 
 
 class AutomatonIds(ChunkIds):
     """Words are encoded along the automaton's paths."""
 
-    def __init__(self, source: str, bound: int = 400_000):
+    def __init__(self, source: str, bound: int = 150_000):
         self.bpe = WordBpe(source)
         super().__init__(list(self.bpe.special), bound)
 
@@ -176,6 +182,9 @@ def library(source: str) -> LibraryIds:
     return _settled(LibraryIds(source))
 
 
+remembers("tokens", library.cache_clear)
+
+
 @lru_cache(maxsize=2)
 def automaton(source: str) -> AutomatonIds:
     """One per Python worker and tokenizer file."""
@@ -204,13 +213,13 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     schema = pa.schema([("id", to_arrow_type(kind)), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):
-        bpe = automaton(source).bpe
+        words = automaton(source)
 
         def rows():
             for batch in batches:
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = bpe.encode(t.as_py())
-                    yield i, ids, bpe.decode(ids)
+                for i, ids in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), strict=True):
+                    blob = ids.tobytes()
+                    yield i, blob, words.bpe.decode(blob)
 
         yield from in_batches(rows(), schema, lambda r: len(r[1]) + len(r[2]))
 
@@ -235,6 +244,7 @@ def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text") -> Data
     source = tokenizer_source(tokenizer)
 
     def run(batches):
+        at_work("tokens")
         ids = library(source)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in ids.texts(batch.column(0))], pa.int64())], ["n_tokens"])
