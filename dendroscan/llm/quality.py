@@ -136,39 +136,53 @@ def base_counts(text: str | None):
     return (len(words), chars, sum(data.count(c.encode()) for c in SYMBOLS), dup, repeat_words(ids, len(place))), place, np.bincount(ids, minlength=len(place))
 
 
-def references(df: DataFrame, lang_col: str = "lang", text_col: str = "text", languages: tuple[str, ...] = tuple(COMMON)) -> dict:
+def references(df: DataFrame, lang_col: str = "lang", text_col: str = "text", languages: tuple[str, ...] = tuple(COMMON), least_reference: int = 10_000) -> dict:
     """(classes, words) histograms of each language over all its documents: a few hundred numbers, as each task sums
-    its own first. Languages that aren't listed, and null, have none."""
+    its own first. Languages that aren't listed have classes alone, from ``least_reference`` characters; null has none."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
         total: dict[str, list] = {}
+
+        def summed():
+            rows = [(lang, kind, i, int(n)) for lang, both in total.items() for kind, h in enumerate(both) for i, n in enumerate(h)]
+            total.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "kind", "i", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in languages or not text:
+                if not text:
                     continue
-                words = text.encode("utf-8", "replace").split()
-                place, ids = _places(words)
-                got = (class_histogram(text), word_histogram(place, np.bincount(ids, minlength=len(place)), lang, len(words)))
-                total[lang] = [a + b for a, b in zip(total[lang], got, strict=True)] if lang in total else list(got)
-        rows = [(lang, kind, i, int(n)) for lang, both in total.items() for kind, h in enumerate(both) for i, n in enumerate(h)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "kind", "i", "n"])
-
-    counted = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(*languages)).mapInArrow(run, "lang string, kind long, i long, n long")
-    out = {lang: (np.zeros(len(CLASSES), np.int64), np.zeros(len(COMMON[lang]) + 1, np.int64)) for lang in languages}
-    for r in counted.groupBy("lang", "kind", "i").agg(F.sum("n").alias("n")).collect():
-        out[r.lang][r.kind][r.i] = r.n
+                got = [class_histogram(text)]
+                if lang in languages:
+                    words = text.encode("utf-8", "replace").split()
+                    place, ids = _places(words)
+                    got.append(word_histogram(place, np.bincount(ids, minlength=len(place)), lang, len(words)))
+                total[lang] = [a + b for a, b in zip(total[lang], got, strict=True)] if lang in total else got
+                if len(total) >= 4096:  # not languages, but whatever a column may hold
+                    yield from summed()
+        yield from summed()
+
+    counted = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull()).mapInArrow(run, "lang string, kind long, i long, n long")
+    summed = counted.groupBy("lang", "kind").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in range(max([len(CLASSES), *[len(COMMON[x]) + 1 for x in languages]]))])
+    out: dict = {lang: (np.zeros(len(CLASSES), np.int64), np.zeros(len(COMMON[lang]) + 1, np.int64)) for lang in languages}
+    for r in summed.where(F.col("lang").isin(*languages) | (F.col("all") >= least_reference)).collect():
+        if r.lang not in out:
+            out[r.lang] = (np.zeros(len(CLASSES), np.int64), None)
+        h = out[r.lang][r.kind]
+        h[:] = [r[f"n{i}"] or 0 for i in range(len(h))]
     return out
 
 
 def assess(df: DataFrame, refs: dict | None = None, lang_col: str = "lang", text_col: str = "text", most_classes: tuple[float, float] = (0.12, 2.6), most_words: tuple[float, float] = (0.14, 1.5), least_chars: int = 200, least_words: int = 50):
     """A column: struct of the base counts, ``base_failed``, the distances (null where the document is too short or
-    its language has no reference) and ``kept``.
+    its language has no reference, or no list of common words) and ``kept``.
 
     A distance may be a + b / sqrt(n) at most, with n characters or words: the less text, the further chance alone
-    takes a histogram from its reference. A null or empty text has no words and fails the base rules. A null or unlisted language leaves only these.
+    takes a histogram from its reference. A null or empty text has no words and fails the base rules. A null language leaves only these,
+    an unlisted one these and the classes of characters.
     """
     refs = references(df, lang_col, text_col) if refs is None else refs
 
@@ -186,7 +200,7 @@ def assess(df: DataFrame, refs: dict | None = None, lang_col: str = "lang", text
             if code in refs and t:
                 if len(t) >= least_chars:
                     dc = js_distance(class_histogram(t), refs[code][0])
-                if n >= least_words:
+                if n >= least_words and refs[code][1] is not None:
                     dw = js_distance(word_histogram(place, hist, code, n), refs[code][1])
             kept = not failed and (dc is None or dc <= most_classes[0] + most_classes[1] / len(t) ** 0.5) and (dw is None or dw <= most_words[0] + most_words[1] / n**0.5)
             for c, v in zip(cols, (*counts, failed, dc, dw, kept), strict=True):
