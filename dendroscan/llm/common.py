@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -13,9 +14,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session in one JVM
+    gets a folder of its own; a cluster must name one, for a folder of the driver's machine isn't shared there."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         got = "file://" + tempfile.mkdtemp(prefix="dendroscan-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got
@@ -30,12 +35,42 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``df``, whose session sends Python ``most`` bytes in an Arrow batch from now on, or less if it did before. Spark's
+    own limit is 64 MB, which each task holds several times over, in the JVM and in its Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(key, "64m").strip().lower())
+    if now is None or not 0 < int(now[1]) << 10 * " kmgt".index(now[2] or " ") <= most:
+        conf.set(key, str(most))
+    return df
+
+
 def small_side(df: DataFrame, rows: int = 250_000) -> DataFrame:
     """The rows, marked for a broadcast if a count shows that there are ``rows`` of them at most (some 15 MB of ids and
     digests); more are left to a shuffle. What is counted should be cheap to compute twice."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def met(rows: DataFrame, side: DataFrame, key: str, weight: str, spread: Column, asks: Column | None = None, most: int = 250_000, heavy: int = 1024) -> DataFrame:
+    """``rows`` with the other columns of ``side`` (one row per key; cheap to compute twice), null where it has no such key.
+
+    A side of ``most`` rows at most is broadcast after a count. Of a larger one the ``heavy`` keys with the greatest
+    weight are broadcast, and their rows are dealt out by ``spread`` (of the key's type) in the shuffle that the others need,
+    as are those that don't ask, which the side has nothing for: what meets in a task by key is a key of less than
+    1 / ``heavy`` of the weight.
+    """
+    if side.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(side), key, "left")
+    names = [c for c in side.columns if c != key]
+    top = side.orderBy(F.desc(weight), key).limit(heavy).select(F.col(key).alias("top_key"), F.struct(*names).alias("top_side"))
+    found = rows.join(F.broadcast(top), rows[key] == F.col("top_key"), "left")
+    cold_key = F.when(F.col("top_key").isNull() & (F.lit(True) if asks is None else asks), F.col(key)).otherwise(spread)
+    found = found.withColumn("cold_key", cold_key)
+    cold = side.select(F.col(key).alias("side_key"), F.struct(*names).alias("cold_side"))
+    both = found.join(cold, F.col("cold_key") == F.col("side_key"), "left")
+    return both.select(*rows.columns, *[F.when(F.col("top_key").isNull(), F.col(f"cold_side.{c}")).otherwise(F.col(f"top_side.{c}")).alias(c) for c in names])
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that for pure ASCII and is much faster than translate()."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
