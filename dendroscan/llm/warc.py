@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_batches, shared_dir
+from .common import durable, in_batches, met, rows_of, shared_dir, small_batches
 
 # The seekable format's magic numbers.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -109,7 +109,8 @@ def record(record_id: str | None, url: str | None, payload: bytes, digest: str,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     fields = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(record_id)}", f"WARC-Date: {date}"]
-    fields += [f"WARC-Target-URI: {_header(url)}"] * (url is not None)
+    if url is not None:
+        fields.append(f"WARC-Target-URI: {_header(url)}")
     fields += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     fields += [f"WARC-Refers-To: {_name(refers_to)}", f"WARC-Profile: {REVISIT}"] * revisit
     fields += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -140,14 +141,16 @@ def parse(raw: bytes) -> dict:
 
 def plan(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
     """(id, url, payload, digest, refers_to, revisit): of equal payloads of ``least`` bytes or more the one with the
-    largest id is a response and the others revisit it."""
+    largest id is a response and the others revisit it. Payloads move only if the digests that occur again are too many
+    for a broadcast, and then those of the most frequent ones are dealt out evenly."""
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
-    # one small row per digest that occurs again; counted before the shuffle, so a frequent payload is no hot key
-    again = pages.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep")
-    return pages.join(again, "digest", "left").withColumns({
-        "revisit": F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep")),
-    }).withColumn("refers_to", F.when(F.col("revisit"), F.col("keep"))).select("id", "url", "payload", "digest", "refers_to", "revisit")
+    # one small row per digest that occurs again, written so that counting and joining don't read the pages again
+    big = pages.where(F.octet_length("payload") >= least)
+    again = durable(big.groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    found = met(pages, again, "digest", "n", F.sha1(F.concat_ws("/", "digest", F.col("id").cast("string"), "url")), asks=F.octet_length("payload") >= least)
+    revisit = F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))
+    return found.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("keep"))).select("id", "url", "payload", "digest", "refers_to", "revisit")
 
 
 def write(df: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3, date: str = "2000-01-01T00:00:00Z", **columns) -> DataFrame:
@@ -169,7 +172,7 @@ def write(df: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 20,
         def rows():
             out, written, name = None, 0, ""
             for batch in batches:
-                for i, url, payload, digest, refers, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, url, payload, digest, refers, revisit in rows_of(batch):
                     if out is None:
                         system.create_dir(path, recursive=True)
                         name = f"{uuid.uuid4().hex}.warc.zst"
@@ -186,13 +189,14 @@ def write(df: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 20,
 
         yield from in_batches(rows(), schema, lambda r: 200)
 
-    planned = plan(df, **columns)
+    planned = plan(small_batches(df), **columns)
     return durable(planned.withColumns({"id": F.col("id").cast("string"), "refers_to": F.col("refers_to").cast("string")}).mapInArrow(run, INDEX))
 
 
-def read(index: DataFrame) -> DataFrame:
+def read(index: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
     """The records that an index names: ``id``, ``type``, ``url``, ``digest``, ``refers_to``, ``payload_bytes``,
-    ``payload`` (binary, null for revisits). Each frame is read and decompressed once by one task."""
+    ``payload`` (binary, null for revisits). Each frame is read and decompressed once by one task; there is a task for
+    about ``task_bytes`` of records, and no fewer than shuffles have. An empty index gives no rows."""
     import pyarrow as pa
 
     schema = pa.schema([("id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
@@ -201,7 +205,7 @@ def read(index: DataFrame) -> DataFrame:
         def rows():
             name, reader, at, frame = None, None, None, b""
             for batch in batches:
-                for bundle, i, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for bundle, i, offset, length in rows_of(batch):
                     if bundle != name:
                         if reader is not None:
                             reader.source.close()
@@ -215,5 +219,7 @@ def read(index: DataFrame) -> DataFrame:
 
         yield from in_batches(rows(), schema, lambda r: len(r[6] or b"") + 200)
 
-    frames = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    total = small_batches(index).agg(F.sum("length").alias("n")).first().n or 0
+    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+    frames = index.repartition(n, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return frames.select("bundle", "frame", "offset", "length").mapInArrow(run, "id string, type string, url string, digest string, refers_to string, payload_bytes long, payload binary")
