@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import at_work, small_batches
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "ident", "mixed", "endpoint")
 
@@ -94,38 +97,50 @@ def spans(text: str | None, reach: int = 300) -> list[tuple[str, int, int, str |
     weak = [x for x in weak if not covered(x[1], x[2])]
     parts = sorted({*strong, *weak}, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)] if len(parts) > 1 else []
-    by_role = {r: [p for p in parts if _ROLE[p[0]] == r] for r in ("ident", "secret", "endpoint")}
-    firsts = {r: [p[1] for p in ps] for r, ps in by_role.items()}
+    sides = {}
+    for role in ("ident", "secret", "endpoint"):
+        mine = [p for p in parts if _ROLE[p[0]] == role]
+        sides[role] = mine, [p[1] for p in mine], list(accumulate((p[2] for p in mine), max))
     out = []
     for kind, a, b in parts:
         k = bisect_left(breaks, a)
         lo = max(a - reach, breaks[k - 1] if k else 0)
         hi = min(b + reach, breaks[j] if (j := bisect_left(breaks, b)) < len(breaks) else len(text))
         best = None
-        for role in by_role:
+        for role, (mine, firsts, ends) in sides.items():
             if role == _ROLE[kind]:
                 continue
-            near = bisect_left(firsts[role], a)
-            for i in (near - 1, near):  # the nearest part on each side
-                if 0 <= i < len(firsts[role]):
-                    p = by_role[role][i]
-                    if p[1] < hi and p[2] > lo:
-                        gap = max(p[1] - b, a - p[2], 0)
-                        best = min(best, (gap, p[1], p[0])) if best else (gap, p[1], p[0])
+            near = bisect_left(firsts, a)
+            # of the parts that start before this one, the first that reaches it, or else the first of those that come nearest
+            nearest = [bisect_left(ends, min(a, ends[near - 1]))] if near else []
+            for i in (*nearest, near):  # and the first that starts in it or behind
+                if i < len(mine) and mine[i][1] < hi and mine[i][2] > lo:
+                    p = mine[i]
+                    gap = max(p[1] - b, a - p[2], 0)
+                    best = min(best or (gap, p[1], KINDS.index(p[0])), (gap, p[1], KINDS.index(p[0])))
         if kind in BASE or best:
-            out.append((kind, a, b, best[2] if best else None, best[1] if best else None))
+            out.append((kind, a, b, KINDS[best[2]] if best else None, best[1] if best else None))
     return out
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType() if n.endswith(("start", "end")) else T.StringType()) for n in ("kind", "start", "end", "value", "partner_kind", "partner_start")]))
 
 
+def _by_slices(text, made, kind, step: int = 256):
+    """What ``made`` gives for each text of an Arrow array, a few texts at a time in Python."""
+    import pyarrow as pa
+
+    at_work("credentials")
+    done = [pa.array([made(t) for t in text.slice(at, step).to_pylist()], kind) for at in range(0, len(text), step)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 @F.arrow_udf(_SPANS)
 def _scan(text):
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("partner_kind", pa.string()), ("partner_start", pa.int64())]))
-    return pa.array([[{"kind": k, "start": a, "end": b, "value": t[a:b], "partner_kind": pk, "partner_start": ps} for k, a, b, pk, ps in spans(t)] for t in text.to_pylist()], type=kind)
+    return _by_slices(text, lambda t: [{"kind": k, "start": a, "end": b, "value": t[a:b], "partner_kind": pk, "partner_start": ps} for k, a, b, pk, ps in spans(t)], kind)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +150,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Null and empty texts have no spans; null or repeated ids are passed through; other columns are ignored; an
     empty table gives no rows.
     """
-    return df.select(F.col(id_col).alias("id"), _scan(F.col(text_col)).alias("found"))
+    return small_batches(df).select(F.col(id_col).alias("id"), _scan(F.col(text_col)).alias("found"))
 
 
 def redacted(text: str | None, mask: str = "[REDACTED]") -> str | None:
@@ -155,12 +170,12 @@ def redacted(text: str | None, mask: str = "[REDACTED]") -> str | None:
 def _redact(text):
     import pyarrow as pa
 
-    return pa.array([redacted(t) for t in text.to_pylist()], type=pa.string())
+    return _by_slices(text, redacted, pa.string())
 
 
 def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``df`` with every span replaced in its text, and the number of characters set anew. A null text stays null."""
-    out = df.withColumn(text_col, _redact(F.col(text_col)))
+    out = small_batches(df).withColumn(text_col, _redact(F.col(text_col)))
     if chars_col in df.columns:
         kind = df.schema[chars_col].dataType
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(kind))
