@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import UPPER
+
 SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,score:double>"
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
@@ -65,10 +67,10 @@ class Kind(NamedTuple):
 #: The lookbehinds and possessive repeats change no match: they keep long runs from being tried at every character.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda v: F.lit(True), False, "mail|contact|write|kontakt|correo|courriel"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", lambda t: F.contains(t, F.lit(".")), lambda v: F.rlike(v, F.lit(f"^{_BYTE}(?:\\.{_BYTE}){{3}}$")), False, r"\bip\b|address|host|server|adresse|direcc"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", lambda t: F.lit(True), lambda v: F.length(_digits(v)).between(13, 19) & luhn(v), True, "card|visa|credit|karte|carte|tarjeta"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", lambda t: F.contains(t, F.lit(".")), lambda v: F.rlike(v, F.lit(f"^{_BYTE}(?:\\.{_BYTE}){{3}}$")), False, r"(?:^|[^a-z0-9])ip(?:[^a-z0-9]|$)|address|host|server|adresse|direcc"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", lambda t: F.rlike(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){12}")), lambda v: F.length(_digits(v)).between(13, 19) & luhn(v), True, "card|visa|credit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda v: F.length(_digits(v)).between(9, 15), False, "phone|call|mobile|fax|tel"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", lambda t: F.lit(True), mod97, True, "iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", lambda t: F.rlike(t, F.lit(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]")), mod97, True, "iban|account|bank|konto|compte|cuenta"),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 
@@ -90,7 +92,7 @@ def _step(acc: Column, x: Column, kind: Kind, near: int) -> Column:
     value = x["value"]
     start = acc["at"] + F.length(x["gap"]["before"])
     end = start + F.length(value)
-    around = F.lower(F.concat_ws(" ", F.right(x["gap"]["before"], F.lit(near)), F.left(x["gap"]["after"], F.lit(near))))
+    around = F.translate(F.concat_ws(" ", F.right(x["gap"]["before"], F.lit(near)), F.left(x["gap"]["after"], F.lit(near))), UPPER, UPPER.lower())
     score = F.lit(0.8 if kind.checked else 0.5) + F.when(F.rlike(around, F.lit(kind.context)), F.lit(0.2)).otherwise(F.lit(0.0))
     span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), score.alias("score"))
     # the last piece is behind the last match: there is no value beside it
@@ -103,7 +105,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: in
     then by start. Offsets are code points, ends are exclusive.
 
     Matches of a kind are leftmost and don't overlap; those that a checksum, a length or a range refutes are dropped
-    and not tried again. A score is 0.5, or 0.8 for what a checksum confirms, and 0.2 more with a context word within
+    and not tried again. Hints only save work: without one, a text has no match of the kind. A score is 0.5, or 0.8 for what a checksum confirms, and 0.2 more with a context word within
     ``near`` code points that belong to no other match of the kind. Null and empty texts have no spans; null or
     repeated ids are passed through; other columns are ignored; an empty table gives no rows.
     """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import credentials, exact, jaccard, packing, passages, pii, quality, tokens, warc
-from .common import default_tokenizer
+from .common import UPPER, default_tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,7 @@ def op3_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), *[count(k.name) for k in pii.KINDS],
         F.sha2(credentials.joined(F.filter("found", lambda s: s["kind"].isin(*pii.BASE))), 256).alias("base_sha256"),
         credentials.joined(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 1)), ",").alias("scores"),
     )
 
 
@@ -60,24 +61,26 @@ def _op3_sql() -> str:
     value = f"CASE WHEN ascii(substring({turned}, i, 1)) >= 65 THEN ascii(substring({turned}, i, 1)) - 55 ELSE ascii(substring({turned}, i, 1)) - 48 END"
     mod97 = f"list_reduce(list_concat([0], list_transform(range(1, length({turned}) + 1), lambda i: {value})), lambda a, b: CASE WHEN b > 9 THEN (a * 100 + b) % 97 ELSE (a * 10 + b) % 97 END) = 1"
     kinds = (
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", f"regexp_full_match(v, '{byte}(?:\\.{byte}){{3}}')"),
-        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
-        ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", mod97),
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "mail|contact|write|kontakt|correo|courriel", 5),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", f"regexp_full_match(v, '{byte}(?:\\.{byte}){{3}}')", "(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server|adresse|direcc", 5),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}", "card|visa|credit|karte|carte|tarjeta", 8),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15", "phone|call|mobile|fax|tel", 5),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", mod97, "iban|account|bank|konto|compte|cuenta", 8),
     )
     parts = " UNION ALL ".join(
-        f"SELECT doc_id, {n} AS nth, '{kind}' AS kind, v, s FROM (SELECT doc_id, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), "
+        f"SELECT doc_id, {n} AS nth, '{kind}' AS kind, v, s, CASE WHEN regexp_matches(translate(around, '{UPPER}', '{UPPER.lower()}'), '{context}') THEN '{(score + 2) / 10}' ELSE '{score / 10}' END AS score "
+        f"FROM (SELECT doc_id, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), lambda k: concat(right(g[k], 40), ' ', left(g[k + 1], 40)))) AS around, unnest(list_transform(range(1, len(m) + 1), "
         f"lambda k: coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))) AS s "
         f"FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_split_to_array(text, '{pattern}') AS g FROM documents) a) b WHERE {test}"
-        for n, (kind, pattern, test) in enumerate(kinds)
+        for n, (kind, pattern, test, context, score) in enumerate(kinds)
     )
     listed = "string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + length(v) AS BIGINT)), ',' ORDER BY nth, s)"
-    counts = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in kinds)
+    scores = "string_agg(score, ',' ORDER BY nth, s)"
+    counts = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in kinds)
     return (
-        f"WITH found AS ({parts}), per AS (SELECT doc_id, {', '.join(f'count(*) FILTER (kind = {chr(39)}{k}{chr(39)}) AS n_{k}' for k, _, _ in kinds)}, "
-        f"{listed} AS spans, {listed} FILTER (nth < 4) AS base FROM found GROUP BY doc_id) "
-        f"SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN per USING (doc_id)"
+        f"WITH found AS ({parts}), per AS (SELECT doc_id, {', '.join(f'count(*) FILTER (kind = {chr(39)}{k}{chr(39)}) AS n_{k}' for k, *_ in kinds)}, "
+        f"{listed} AS spans, {scores} AS scores, {listed} FILTER (nth < 4) AS base FROM found GROUP BY doc_id) "
+        f"SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM documents d LEFT JOIN per USING (doc_id)"
     )
 
 

@@ -51,7 +51,7 @@ def test_weak_parts_only_beside_complementary_ones():
 
 
 def plain_links(text, reach):
-    """Every pair of parts, one by one."""
+    """Every pair of parts, one by one: the spans with their partners."""
     narrow = text.encode("latin-1", "replace")
     strong = K.base_spans(text, narrow)
     parts = {*strong, *[w for w in K._weak(text, narrow) if not any(a <= w[1] and w[2] <= b for _, a, b in strong)]}
@@ -59,16 +59,24 @@ def plain_links(text, reach):
     out = set()
     for p in parts:
         lo, hi = max([p[1] - reach, *[x for x in breaks if x < p[1]]]), min([p[2] + reach, *[x for x in breaks if x >= p[2]]])
-        if p[0] in K.BASE or any(K._ROLE[q[0]] != K._ROLE[p[0]] and q[1] < hi and q[2] > lo for q in parts):
-            out.add(p)
+        others = [q for q in parts if K._ROLE[q[0]] != K._ROLE[p[0]] and q[1] < hi and q[2] > lo]
+        best = min(others, key=lambda q: (max(q[1] - p[2], p[1] - q[2], 0), q[1], K.KINDS.index(q[0]))) if others else (None, None)
+        if p[0] in K.BASE or others:
+            out.add((*p, best[0], best[1]))
     return out
 
 
 def test_links_by_brute_force():
     rng = random.Random(2)
-    for _ in range(300):
-        text = "".join(rng.choice(["user_id=bob ", "aB3/" * 10 + " ", "https://h.example/ ", "x" * 7, " ", "\n\n", "AKIA" + "Z" * 18 + " "]) for _ in range(12))
-        assert {s[:3] for s in K.spans(text, 30)} == plain_links(text, 30), text
+    nested = ["token=" + "0f" * 12 + "/" + "Z" * 90 + " ", "secret:" + "AKIA" + "Q" * 20 + "/" + "ab" * 14 + "-x ", "server=" + "0e" * 13 + " "]
+    for _ in range(600):
+        text = "".join(rng.choice(["user_id=bob ", "aB3/" * 10 + " ", "https://h.example/ ", "x" * 7, " ", "\n\n", "AKIA" + "Z" * 18 + " ", *nested]) for _ in range(12))
+        assert set(K.spans(text, 30)) == plain_links(text, 30), text
+
+
+def test_part_beside_a_long_one():
+    text = "token=" + "0f" * 12 + "/" + "Z" * 400 + " user_id=bob"
+    assert ("ident", text.index("user_id"), len(text), "assign", 0) in K.spans(text)
 
 
 def test_redaction(spark, odd):
