@@ -1,7 +1,7 @@
 """Quality rules: base counts, and divergence from what is usual in a document's language.
 
-References are counted over all documents of a language: how often each class of characters occurs, and each of its
-common words. A document's own histograms are compared with them by the Jensen-Shannon distance (base 2: 0 to 1).
+References are counted over all documents of a language that pass the base rules: how often each class of characters
+occurs, and each of its common words. A document's own histograms are compared with them by the Jensen-Shannon distance (base 2: 0 to 1).
 Short documents have unreliable histograms, so a distance counts only above a minimum length.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import at_work
+from .common import at_work, rows_of, small_batches
 
 # Common words by language, one list each.
 COMMON = {
@@ -136,9 +136,14 @@ def base_counts(text: str | None):
     return (len(words), chars, sum(data.count(c.encode()) for c in SYMBOLS), dup, repeat_words(ids, len(place))), place, np.bincount(ids, minlength=len(place))
 
 
+def base_failed(counts: tuple) -> bool:
+    """Whether base_counts()'s numbers fail a text: few words, or many in repeated windows."""
+    return counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+
+
 def references(df: DataFrame, lang_col: str = "lang", text_col: str = "text", languages: tuple[str, ...] = tuple(COMMON), least_reference: int = 10_000) -> dict:
-    """(classes, words) histograms of each language over all its documents: a few hundred numbers, as each task sums
-    its own first. Languages that aren't listed have classes alone, from ``least_reference`` characters; null has none."""
+    """(classes, words) histograms of each language over all its documents that pass the base rules: a few hundred
+    numbers, as each task sums its own first. Languages that aren't listed have classes alone, from ``least_reference`` characters; null has none."""
     import numpy as np
     import pyarrow as pa
 
@@ -151,21 +156,21 @@ def references(df: DataFrame, lang_col: str = "lang", text_col: str = "text", la
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "kind", "i", "n"])
 
+        at_work("quality")
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
+            for lang, text in rows_of(batch):
+                counts, place, hist = base_counts(text)
+                if base_failed(counts):
                     continue
                 got = [class_histogram(text)]
                 if lang in languages:
-                    words = text.encode("utf-8", "replace").split()
-                    place, ids = _places(words)
-                    got.append(word_histogram(place, np.bincount(ids, minlength=len(place)), lang, len(words)))
+                    got.append(word_histogram(place, hist, lang, counts[0]))
                 total[lang] = [a + b for a, b in zip(total[lang], got, strict=True)] if lang in total else got
                 if len(total) >= 4096:  # not languages, but whatever a column may hold
                     yield from summed()
         yield from summed()
 
-    counted = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull()).mapInArrow(run, "lang string, kind long, i long, n long")
+    counted = small_batches(df).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull()).mapInArrow(run, "lang string, kind long, i long, n long")
     summed = counted.groupBy("lang", "kind").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in range(max([len(CLASSES), *[len(COMMON[x]) + 1 for x in languages]]))])
     out: dict = {lang: (np.zeros(len(CLASSES), np.int64), np.zeros(len(COMMON[lang]) + 1, np.int64)) for lang in languages}
     for r in summed.where(F.col("lang").isin(*languages) | (F.col("all") >= least_reference)).collect():
@@ -185,6 +190,7 @@ def assess(df: DataFrame, refs: dict | None = None, lang_col: str = "lang", text
     an unlisted one these and the classes of characters.
     """
     refs = references(df, lang_col, text_col) if refs is None else refs
+    small_batches(df)
 
     @F.arrow_udf(RESULT)
     def judge(lang, text):
@@ -192,10 +198,10 @@ def assess(df: DataFrame, refs: dict | None = None, lang_col: str = "lang", text
 
         at_work("quality")
         cols: list[list] = [[] for _ in range(9)]
-        for code, t in zip(lang.to_pylist(), text.to_pylist(), strict=True):
+        for code, t in rows_of(pa.RecordBatch.from_arrays([lang, text], ["lang", "text"])):
             counts, place, hist = base_counts(t)
             n = counts[0]
-            failed = n < 10 or 100 * counts[4] > 20 * n
+            failed = base_failed(counts)
             dc = dw = None
             if code in refs and t:
                 if len(t) >= least_chars:
