@@ -4,8 +4,9 @@
 they share one. *Heavy* sets are found through inverted lists. A list stands for the content of one block of a set,
 where blocks are fixed ranges of the elements' hashes. If two sets differ in at most h elements, at most h blocks
 differ, so of the first h + 1 blocks that hold anything one is the same in both: each set has only so many lists.
-A block holds several elements, so a passage that many documents share makes no long list by itself. The sizes at
-which subsets cost more than lists part light from heavy; sets near that boundary do both.
+A block holds several elements, so a passage that many documents share makes no long list by itself. A set that has
+so few blocks that this says nothing is listed by single elements too. The sizes at which subsets cost more than
+lists, by the length of the lists as it is measured, part light from heavy; sets near that boundary do both.
 
 Elements that are common all over the corpus are left out of the blocks, for the same bound of h holds without
 them; sets that have too little else use all of their elements too.
@@ -24,7 +25,7 @@ from math import ceil, comb, exp, sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_work, durable, remembers, rows_of, small_side
+from .common import at_work, durable, in_batches, met, remembers, rows_of, small_batches, small_side
 from .graph import components
 
 LEVEL = 1.5
@@ -98,10 +99,11 @@ def sizes_to_try(a: int, num: int, den: int) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=16)
-def boundary(num: int, den: int, cost: int = 4) -> int:
-    """The largest light set: subsets cost no more than ``cost`` times the lists, which need a comparison after."""
+def boundary(num: int, den: int, list_length: float = 10.0, scan: float = 0.05) -> int:
+    """The largest light set: up to it, no size costs more by subsets than by lists. The unit is a key. A heavy set
+    costs its keys, and the comparison scans a list of ``list_length`` sets for each element, at ``scan`` for an entry."""
     a = 1
-    while sum(comb(a + 1, c) for c in sizes_to_try(a + 1, num, den)) <= cost * (most_apart(a + 1, num, den) + 1) * 3:
+    while sum(comb(a + 1, c) for c in sizes_to_try(a + 1, num, den)) <= (most_apart(a + 1, num, den) + 1) * len(_levels(a + 1, num, den)) + scan * list_length * (a + 1):
         a += 1
     return a
 
@@ -153,31 +155,33 @@ def heavy_keys(s, common, num: int, den: int):
     import numpy as np
 
     need, out = most_apart(len(s), num, den) + 1, []
-    rare = s
+    usual = np.zeros(len(s), bool)
     if len(common):
-        at = np.searchsorted(common, s)
-        rare = s[common[np.minimum(at, len(common) - 1)] != s]
+        usual = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+    short = False
     for top in _levels(len(s), num, den):
         blocks, found = block_count(top, num, den), 0
-        for domain, part in ((1, rare), (2, s)):
-            if not len(part):
+        for domain, part in ((1, s[~usual]), (2, s)):
+            # sets that have no block in common have no more blocks than can differ, both of them
+            if found >= need or not len(part):
                 continue
             block = (part >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            # sets that have no block in common have no more blocks than can differ, both of them
-            if domain == 2 and found >= need:
-                break
             found = len(starts)
             sums = np.add.reduceat(mix(part), starts)[:need]
             out.append(mix(sums ^ mix(block[starts[:need]] * np.uint64(_M1) + np.uint64(top << 8 | domain << 1))))
+        short |= found < need
+    if short:  # of the first elements in one order for all sets, as many as can differ and one more, one is in both
+        first = np.concatenate((s[~usual], s[usual]))[:need]
+        out.append(mix(first ^ np.uint64(0x5851F42D4C957F2D)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def keys_of(s, common, num: int, den: int):
-    """All keys of a set: two similar sets have one in common."""
+def keys_of(s, common, num: int, den: int, edge: int | None = None):
+    """All keys of a set: two similar sets have one in common, if both have the same edge, the largest light size."""
     import numpy as np
 
-    edge, out = boundary(num, den), []
+    edge, out = edge or boundary(num, den), []
     if len(s) <= edge:
         out.append(light_keys(s, num, den))
     if len(s) * den >= num * (edge + 1):
@@ -225,8 +229,8 @@ def local_roots(sets, num: int, den: int) -> list[int]:
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, k: int, share: float, window: int = 2000) -> DataFrame:
-    """(id, n, digest, name) of each row; and, without digest, (n: minus the documents, name: the element) of the
-    elements that are frequent among ``window`` documents in a row."""
+    """(id, n, digest, name) of each row; and, without digest, of ``window`` documents in a row (n: minus the documents,
+    name: the element) of the elements that are frequent, and (n: entries of all their elements' lists, no name)."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -244,7 +248,8 @@ def _sets(df: DataFrame, id_col: str, text_col: str, k: int, share: float, windo
             h, n = np.unique(np.concatenate(held), return_counts=True)
             on = n >= max(3, len(held) * share / 2)
             m = int(on.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(m, arrow), pa.array(-n[on].astype(np.int64)), pa.nulls(m, pa.binary()), pa.array(h[on].view(np.int64) if m else [], pa.int64())], ["id", "n", "digest", "name"])
+            counts = np.append(-n[on].astype(np.int64), np.dot(n, n))
+            return pa.RecordBatch.from_arrays([pa.nulls(m + 1, arrow), pa.array(counts, pa.int64()), pa.nulls(m + 1, pa.binary()), pa.array([*h[on].view(np.int64).tolist(), None], pa.int64())], ["id", "n", "digest", "name"])
 
         for batch in batches:
             ns, digests, names = [], [], []
@@ -269,7 +274,7 @@ def common_elements(table: DataFrame, documents: int, share: float):
     size over ``share``, 10 MB for sets of 600. Which of the doubtful ones are in changes the cost only."""
     import numpy as np
 
-    counts = table.where("digest is null").groupBy("name").agg((-F.sum("n")).alias("n")).where(F.col("n") >= max(documents * share / 2, 3.0))
+    counts = table.where("digest is null and name is not null").groupBy("name").agg((-F.sum("n")).alias("n")).where(F.col("n") >= max(documents * share / 2, 3.0))
     return np.sort(np.array([r.name_ for r in counts.select(F.col("name").alias("name_")).collect()], np.int64).view(np.uint64))
 
 
@@ -279,6 +284,7 @@ def _frequent(texts: DataFrame, k: int, least: int = 8, most: int = 500_000):
     import pyarrow as pa
 
     def run(batches):
+        at_work("shingles")
         for batch in batches:
             held = [shingles(t, k) for (t,) in rows_of(batch)]
             if held:
@@ -292,11 +298,12 @@ def _frequent(texts: DataFrame, k: int, least: int = 8, most: int = 500_000):
 
 def _sized(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """(digest, name, rep, cluster, members) of the sets that are in a cluster."""
-    got = sets.select("digest", "name", "rep").join(clusters.withColumnRenamed("node", "name").withColumnRenamed("component", "cluster"), "name")
-    return durable(got.join(got.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster").select("digest", "name", "rep", "cluster", "members"))
+    got = durable(sets.select("digest", "name", "rep").join(clusters.select(F.col("node").alias("name"), F.col("component").alias("cluster")), "name"))
+    members = durable(got.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")))
+    return durable(met(got, members, "cluster", "members", F.xxhash64("digest")).select("digest", "name", "rep", "cluster", "members"))
 
 
-def _postings(texts: DataFrame, k: int, num: int, den: int, common) -> DataFrame:
+def _postings(texts: DataFrame, k: int, num: int, den: int, common, edge: int) -> DataFrame:
     """(key, name) of each distinct set; a task lists a set that it has listed before only now and then."""
     import pyarrow as pa
 
@@ -322,10 +329,10 @@ def _postings(texts: DataFrame, k: int, num: int, den: int, common) -> DataFrame
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(name)
-                keys.append(keys_of(s, common, num, den))
+                keys.append(keys_of(s, common, num, den, edge))
                 names.append(name)
                 counts.append(len(keys[-1]))
-                if sum(counts[-1:]) and len(keys) >= 2000:
+                if len(keys) >= 2000:
                     yield out()
                     keys, names, counts = [], [], []
             if keys:
@@ -366,29 +373,33 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing. Ids may repeat and may be null; a component without any other id has a null one. An empty table gives
     no rows; other columns are ignored.
     """
-    table = durable(_sets(df, id_col, text_col, k, share))
+    table = durable(_sets(small_batches(df), id_col, text_col, k, share))
     docs = table.where("digest is not null")
-    same = docs.where("n > 0").groupBy("digest", "name", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
-    common = common_elements(table, docs.count(), share)
+    same = durable(docs.where("n > 0").groupBy("digest", "name", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same")))
+    sizes = table.agg(F.count("digest").alias("docs"), F.sum(F.when(F.col("digest").isNotNull(), F.col("n"))).alias("entries"), F.sum(F.when(F.col("digest").isNull() & F.col("name").isNull(), F.col("n"))).alias("scanned")).first()
+    edge = boundary(num, den, (sizes.scanned or 0) / max(sizes.entries or 0, 1))
+    common = common_elements(table, sizes.docs, share)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sized = _sized(same, components(_stars(_postings(texts, k, num, den, common))))
+    sized = _sized(same, components(_stars(_postings(texts, k, num, den, common, edge))))
     is_large = F.col("members") > cluster_in_task
     if sized.where(is_large).limit(1).count():
         # what holds a large cluster together is left out of the blocks of its sets: its own frequent elements
         large = sized.where(is_large)
         inside = _with_text(large, texts).select("text")
-        finer = components(_stars(_postings(inside, k, num, den, _frequent(inside, k))))
+        finer = components(_stars(_postings(inside, k, num, den, _frequent(inside, k), edge)))
         sized = durable(sized.where(~is_large).unionByName(_sized(large.drop("cluster", "members"), finer)))
     linked = _in_tasks(_with_text(sized.where(~is_large), texts), k, num, den)
     if sized.where(is_large).limit(1).count():
         linked = linked.unionByName(_in_blocks(_with_text(sized.where(is_large), texts), k, num, den, pivots))
-    # every set's own digest, or that of its component's first
-    root = same.join(linked, "digest", "left").select("digest", "rep", "n_same", F.coalesce("root", "digest").alias("root"))
-    ids = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = root.join(ids, "root").select("digest", "component_id", "n_same")
-    return docs.join(named, "digest", "left").select(
+    # only sets that aren't alone have anything to learn
+    linked = durable(same.select("digest", "rep").join(linked, "digest"))
+    first = durable(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("sets")))
+    named = met(linked, first.where("sets > 1"), "root", "sets", F.col("digest")).where("sets is not null").select("digest", "component_id", "sets")
+    named = durable(same.select("digest", "rep", "n_same").join(named, "digest", "left").where("n_same > 1 or sets is not null").select("digest", F.when(F.col("sets").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), "n_same"))
+    spread = F.unhex(F.sha2(F.concat_ws("/", F.hex("digest"), F.col("id").cast("string")), 256))
+    return met(docs, named, "digest", "n_same", spread, asks=F.col("n") > 0).select(
         "id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("n_same").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"),
     )
 
@@ -439,6 +450,7 @@ def _meet(few: DataFrame, members: DataFrame, num: int, den: int, dealt: int = 2
     def run(batches):
         import numpy as np
 
+        at_work("shingles")
         now, held, lists = None, {}, None
         for batch in batches:
             for cluster, part, salt, late, digest, raw in rows_of(batch):
@@ -470,11 +482,16 @@ def _in_blocks(rows: DataFrame, k: int, num: int, den: int, pivots: int, block:
     def run(batches):
         import xxhash
 
-        for batch in batches:
-            for cluster, members, digest, text in rows_of(batch):
-                raw = shingles(text, k).tobytes()
-                if xxhash.xxh3_128_digest(raw) == digest:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((cluster, pa.int64()), (members, pa.int64()), (digest, pa.binary()), (raw, pa.binary()))], ["cluster", "members", "digest", "raw"])
+        at_work("shingles")
+
+        def sets():
+            for batch in batches:
+                for cluster, members, digest, text in rows_of(batch):
+                    raw = shingles(text, k).tobytes()
+                    if xxhash.xxh3_128_digest(raw) == digest:
+                        yield cluster, members, digest, raw
+
+        yield from in_batches(sets(), pa.schema([("cluster", pa.int64()), ("members", pa.int64()), ("digest", pa.binary()), ("raw", pa.binary())]), lambda r: len(r[3]))
 
     sets = durable(rows.mapInArrow(run, "cluster long, members long, digest binary, raw binary").dropDuplicates(["digest"]))
     order = Window.partitionBy("cluster").orderBy(F.xxhash64("digest"), "digest")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from dendroscan.llm import exact, graph, jaccard, packing, passages, quality
 from dendroscan.llm.queries import oracle_sql, queries
+from test_quality import plain_verdicts
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +44,23 @@ def test_copies_of_any_share(spark, odd):
         assert len(out) == 900 and all((r.keep_id, r.group_size) == (max(groups[r.row.text.lower()]), len(groups[r.row.text.lower()])) for r in out)
         assert all(r.kept == (r.row.doc_id == r.keep_id) for r in out)
     plan = exact.exact_dedup(df)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "BroadcastHashJoin" in plan
+    assert "Python" not in plan and "BroadcastHashJoin" in plan and "Window" not in plan
+    assert "collect_frequent_items" not in plan  # the summary is evaluated once, before the plan that splits by it
+
+
+def test_drop_copies_beyond_a_broadcast(spark, monkeypatch):
+    from dendroscan.llm import common
+
+    rng = random.Random(2)
+    rows = [(i, "Hot COPY" if i % 3 == 0 else f"t{rng.randrange(40)}" if i % 3 == 1 else f"unique {i}") for i in range(900)] + [(898, "Hot copy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    last = {}
+    for i, t in rows:
+        last[t.lower()] = max(i, last.get(t.lower(), 0))
+    for most, heavy in ((250_000, 1024), (3, 2)):
+        monkeypatch.setattr(exact, "met", lambda *a, **b: common.met(*a, **b, most=most, heavy=heavy))
+        out = exact.drop_copies(df, support=1 / 16).collect()
+        assert sorted(r.doc_id for r in out) == sorted(last.values())
 
 
 def test_exact_dedup_of_odd_rows(odd):
@@ -181,6 +198,28 @@ def test_keys_of_similar_sets_meet():
                         assert set(jaccard.keys_of(a, common, num, 100).tolist()) & set(jaccard.keys_of(more, common, num, 100).tolist()), (num, size)
 
 
+def test_sets_with_few_blocks_are_listed_by_elements(monkeypatch):
+    monkeypatch.setattr(jaccard, "block_count", lambda top, num, den: 3)
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+        b = np.unique(np.concatenate((rng.permutation(a)[:93], rng.integers(0, 1 << 63, 7, dtype=np.uint64))))
+        common = np.sort(rng.choice(a, 20, replace=False))
+        assert set(jaccard.keys_of(a, common, 85, 100).tolist()) & set(jaccard.keys_of(b, common, 85, 100).tolist())
+
+
+def test_boundary_follows_the_measured_lists():
+    found = [jaccard.boundary(85, 100, length) for length in (1.0, 20.0, 400.0, 2000.0)]
+    assert found == sorted(found) and found[0] < found[-1] <= 40
+
+
+def test_op6_whole_table_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries()["op6_ngram_jaccard"](spark, sf).collect()}
+    assert got == plain_components(rows, 4, 85, 100)
+
+
 def test_jaccard_of_odd_rows(odd):
     out = jaccard.similarity_components(odd).collect()
     assert len(out) == 11 and sorted(str((r.n_shingles, r.component_id)) for r in out if r.n_shingles == 0) == ["(0, 3)", "(0, 4)", "(0, 5)", "(0, None)"]
@@ -203,8 +242,19 @@ def test_connected_components(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     linked = {x for a, b in edges if a is not None and a != b for x in (a, b)}
-    got = graph.components(spark.createDataFrame(edges, "a long, b long"))
-    assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in linked)
+    for few in (120_000, 10):
+        got = graph.components(spark.createDataFrame(edges, "a long, b long"), few)
+        assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in linked)
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    """Beyond a broadcast: the neighbours of two hubs, and nodes that both have."""
+    from dendroscan.llm import common
+
+    monkeypatch.setattr(graph, "met", lambda *a, **b: common.met(*a, **b, most=5, heavy=2))
+    edges = [(5000 + i, 1) for i in range(400)] + [(9000 + i, 2) for i in range(400)] + [(3, 4), (8, 4)]
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), few=0).collect()
+    assert len(got) == 805 and all(r.component == (1 if r.node == 1 or 5000 <= r.node < 9000 else 2 if r.node == 2 or r.node >= 9000 else 3) for r in got)
 
 
 # passages
@@ -317,20 +367,8 @@ def test_pipeline_by_brute_force(spark, small, library):
     from dendroscan.llm.credentials import redacted
 
     docs = small.collect()
-    refs = {}
-    for lang in quality.COMMON:
-        h = [(quality.class_histogram(r.text), quality.word_histogram(*quality.base_counts(r.text)[1:], lang, quality.base_counts(r.text)[0][0])) for r in docs if r.lang == lang]
-        refs[lang] = [sum(x) for x in zip(*h, strict=True)]
-    kept = []
-    for r in docs:
-        (n, _, _, _, rep), place, hist = quality.base_counts(r.text)
-        if n < 10 or 100 * rep > 20 * n:
-            continue
-        if len(r.text) >= 200 and quality.js_distance(quality.class_histogram(r.text), refs[r.lang][0]) > 0.12 + 2.6 / len(r.text) ** 0.5:
-            continue
-        if n >= 50 and quality.js_distance(quality.word_histogram(place, hist, r.lang, n), refs[r.lang][1]) > 0.14 + 1.5 / n**0.5:
-            continue
-        kept.append(r)
+    verdicts = plain_verdicts([(r.doc_id, r.lang, r.text) for r in docs])
+    kept = [r for r in docs if verdicts[r.doc_id][3]]
     lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
     last = {lower(r.text): r.doc_id for r in sorted(kept, key=lambda r: r.doc_id)}
     kept = [r for r in kept if last[lower(r.text)] == r.doc_id]
