@@ -13,7 +13,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_work, durable, in_batches, rows_of, tokenizer_source
+from .common import at_work, durable, in_batches, rows_of, small_batches, tokenizer_source
 from .tokens import library
 
 DIMS, BITS, BUCKETS, TIE_BITS = 3, 10, 256, 16
@@ -112,7 +112,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_
 
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = durable(_encoded(df, tokenizer, end_id, id_col, text_col))
+    docs = durable(_encoded(small_batches(df), tokenizer, end_id, id_col, text_col))
     shares = [i / partitions for i in range(1, partitions)]
     # as many numbers as partitions
     bounds = (docs.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first().b or []) if shares else []

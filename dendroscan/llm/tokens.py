@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import END_OF_WORD, NOT_SPACE, WordBpe, chunks, pieces
-from .common import at_work, in_batches, remembers, tokenizer_source
+from .common import at_work, in_batches, remembers, small_batches, tokenizer_source
 
 
 class ChunkIds:
@@ -191,6 +191,9 @@ def automaton(source: str) -> AutomatonIds:
     return _settled(AutomatonIds(source))
 
 
+remembers("automaton", automaton.cache_clear)
+
+
 def _settled(made):
     import gc
 
@@ -213,6 +216,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     schema = pa.schema([("id", to_arrow_type(kind)), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):
+        at_work("automaton")
         words = automaton(source)
 
         def rows():
@@ -223,7 +227,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
         yield from in_batches(rows(), schema, lambda r: len(r[1]) + len(r[2]))
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, ids binary, decoded string")
+    return small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, ids binary, decoded string")
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
@@ -249,7 +253,7 @@ def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text") -> Data
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in ids.texts(batch.column(0))], pa.int64())], ["n_tokens"])
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "n_tokens long")
+    return small_batches(df).select(F.col(text_col).alias("text")).mapInArrow(run, "n_tokens long")
 
 
 def length_histogram(df: DataFrame, tokenizer: str, text_col: str = "text", block: int = 1024) -> DataFrame:
