@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,24 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    out = df.checkpoint()
+    released(spark)
+    return out
+
+
+_released = 0.0
+
+
+def released(spark: SparkSession, every: float = 5.0) -> None:
+    """Lets go of the shuffle files and broadcasts of what has been computed: Spark removes them from disks and
+    executors once the driver has collected the plans that made them, which it otherwise does when its own memory runs short.
+    Not more often than ``every`` so many seconds."""
+    global _released
+    if time.monotonic() - _released < every:
+        return
+    gc.collect()
+    spark._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
@@ -104,7 +123,6 @@ def at_work(owner: str) -> None:
         return
     _at_work = owner
     import ctypes
-    import gc
 
     import pyarrow as pa
 

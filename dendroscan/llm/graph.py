@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, met, shared_dir
+from .common import durable, met, released, shared_dir
 
 
 def components(edges: DataFrame, few: int = 120_000) -> DataFrame:
@@ -48,6 +48,7 @@ def components(edges: DataFrame, few: int = 120_000) -> DataFrame:
         rest = rest.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), str(n))
         now = e.agg(F.count(F.lit(1)), total).first()
+        released(spark)
     # every edge leads to the smallest node of its component now
     out = durable(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
