@@ -42,12 +42,13 @@ def mix(x):
 
 
 class Words(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
+    """Word -> 64-bit hash, remembered up to a bound. The upper 5 bits are the word's length (31 at most), so that the
+    greatest hash of some words is that of a longest one."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        got = xxhash.xxh3_64_intdigest(word)
+        got = min(len(word), 31) << 59 | xxhash.xxh3_64_intdigest(word) >> 5
         if len(self) > 250_000:
             self.clear()
         self[word] = got
