@@ -8,6 +8,7 @@ import re
 import tempfile
 import time
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +35,32 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    out = df.checkpoint()
+    with freeing(spark):
+        out = df.select("*").checkpoint()
     released(spark)
     return out
 
 
+@contextmanager
+def freeing(spark: SparkSession):
+    """What is computed inside gives its shuffle files back as soon as it is there; a stage that needs some of them again
+    is run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _released = 0.0
 
 
 def released(spark: SparkSession, every: float = 5.0) -> None:
-    """Lets go of the shuffle files and broadcasts of what has been computed: Spark removes them from disks and
-    executors once the driver has collected the plans that made them, which it otherwise does when its own memory runs short.
-    Not more often than ``every`` so many seconds."""
+    """Lets go of the broadcasts and checkpoints of what has been computed: Spark removes them from executors and disks
+    once the driver has collected the plans that made them, which it otherwise does when its own memory runs short. Not more
+    often than ``every`` so many seconds."""
     global _released
     if time.monotonic() - _released < every:
         return

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, met, released, shared_dir
+from .common import durable, freeing, met, released, shared_dir
 
 
 def components(edges: DataFrame, few: int = 120_000) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, few: int = 120_000) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
 
     def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        with freeing(spark):
+            df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     def joined(rows: DataFrame, side: DataFrame, small: bool, name: str) -> tuple[DataFrame, DataFrame]:
