@@ -6,9 +6,7 @@ import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .functions import text as T
 from .operators import changes as C
 from .operators import preview as P
 from .operators import search as S
@@ -54,7 +52,7 @@ class Engine:
         if self.generation and path in self.roots:
             return self.generation
         old, new = self.entries(), self._scan([path])
-        names = ["id", "dir_path", "name", "depth", "size", "mtime", "is_dir"]
+        names = ["id", "dir_path", "name", "depth", "size", "mtime", "is_dir", *C.KEPT]
         both = old.select(*names).join(new.select("dir_path", "name"), ["dir_path", "name"], "left_anti").select(*names).unionByName(new.select(*names))
         return self.snapshot.write(both, roots=[*(self.roots if self.generation else []), path])
 
@@ -67,7 +65,7 @@ class Engine:
 
     def apply_events(self, changes: DataFrame) -> dict:
         """Merges changes (seq, op, path, size, mtime, is_dir); what was added, updated and removed."""
-        state = self.entries().select(T.path_of(F.col("dir_path"), F.col("name")).alias("path"), "size", "mtime", "is_dir")
+        state = C.state_of(self.entries())
         got = C.outcome(state, changes).first().asDict()
         self.snapshot.write(C.as_entries(C.apply(state, changes)))
         return got
@@ -80,7 +78,8 @@ class Engine:
         return stats.index_stats(self.entries()).first().asDict() | {"bytes_on_disk": self.snapshot.size_on_disk(), "roots": self.roots, "last_scan": meta.get("last_scan"), "generation": self.generation}
 
     def watcher(self) -> Watcher:
-        return Watcher(self.spark, self.snapshot, self.roots, self.config.watch_excludes, self.config.exclude_paths)
+        c = self.config
+        return Watcher(self.spark, self.snapshot, self.roots, c.watch_excludes, c.exclude_paths, c.scan_excludes, c.watch_budget, c.watch_rescan_s)
 
     def clear(self) -> None:
         self.snapshot.clear()

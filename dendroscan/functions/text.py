@@ -11,6 +11,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DIR, SYMLINK, DEAD, HIDDEN = 1, 2, 4, 8
 #: Fixed value: characters after which a word begins.
 BOUNDARY = ("_", "-", ".", " ", "/", "@", "+", ",")
+#: The factors that hash pairs of bytes in the two signatures.
+PAIR_FACTOR, PAIR_FACTOR2 = 0x9E3779B1, 0x85EBCA6B
+#: The offset basis and the prime of the 64-bit FNV-1a hash.
+FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def fold_ascii(c: Column) -> Column:
@@ -46,6 +50,11 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)/?$", 1)
 
 
+def id_of(path: Column, name: Column, raw: Column) -> Column:
+    """An entry's id: a hash of its path, and of its name's bytes where these aren't the name in UTF-8."""
+    return F.when(raw.isNull() | (raw == F.encode(name, "UTF-8")), F.xxhash64(path)).otherwise(F.xxhash64(path, raw))
+
+
 def trim_slash(path: Column) -> Column:
     """Without slashes at the end, but for a bare root."""
     return F.when(F.rlike(path, F.lit("^/+$")), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
@@ -106,12 +115,12 @@ def _or(bits: Column) -> Column:
 def signature(name: Column) -> Column:
     """64 bits: which kinds of bytes a name has, and in the upper half which hashed pairs of neighbours (signed)."""
     raw = _bytes_of(name)
-    return _or(F.transform(raw, _byte_bits)).bitwiseOR(_or(F.transform(_pair_bits(raw, 0x9E3779B1), lambda b: b + 32)))
+    return _or(F.transform(raw, _byte_bits)).bitwiseOR(_or(F.transform(_pair_bits(raw, PAIR_FACTOR), lambda b: b + 32)))
 
 
 def signature2(name: Column) -> Column:
     """32 more bits of pairs, by another factor."""
-    return _or(_pair_bits(_bytes_of(name), 0x85EBCA6B))
+    return _or(_pair_bits(_bytes_of(name), PAIR_FACTOR2))
 
 
 def needed_bits(term: str) -> tuple[int, int]:
@@ -123,16 +132,16 @@ def needed_bits(term: str) -> tuple[int, int]:
         sig |= 1 << place
         if i:
             key = (raw[i - 1] | 32) << 8 | low
-            sig |= 1 << 32 + ((key * 0x9E3779B1 & 0xFFFFFFFF) >> 27)
-            sig2 |= 1 << ((key * 0x85EBCA6B & 0xFFFFFFFF) >> 27)
+            sig |= 1 << 32 + ((key * PAIR_FACTOR & 0xFFFFFFFF) >> 27)
+            sig2 |= 1 << ((key * PAIR_FACTOR2 & 0xFFFFFFFF) >> 27)
     return sig - (1 << 64) if sig >> 63 else sig, sig2
 
 
 def human_size(size: Column, units: tuple[str, ...] = ("B", "K", "M", "G", "T")) -> Column:
-    """``n B`` below 1024, else one decimal of the largest unit that leaves 1 or more."""
+    """``n B`` below 1024, else one decimal of the largest unit that leaves 1 or more; halves go to the even digit."""
     out = F.format_string(f"%d {units[0]}", size)
     for power, unit in enumerate(units[1:], 1):
-        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", size.cast("double") / 1024**power)).otherwise(out)
+        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(size.cast("double") / 1024**power, 1))).otherwise(out)
     return out
 
 
@@ -165,8 +174,11 @@ def truncate_utf8(text: Column, n: int) -> Column:
     return F.when(F.octet_length(text) <= n, text).otherwise(whole)
 
 
-#: The beginnings of files, in hexadecimal, and their kinds.
-MAGIC = (("255044462D", "pdf"), ("7F454C46", "elf"), ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("504B0304", "zip"), ("1F8B", "gzip"), ("2321", "script"), ("4F676753", "ogg"), ("0061736D", "wasm"))
+#: The beginnings of files and their kinds.
+MAGIC = (
+    (b"%PDF-", "pdf"), (b"\x7fELF", "elf"), (b"\x89PNG", "png"), (b"\xff\xd8\xff", "jpeg"), (b"GIF8", "gif"),
+    (b"PK\x03\x04", "zip"), (b"\x1f\x8b", "gzip"), (b"#!", "script"), (b"OggS", "ogg"), (b"\x00asm", "wasm"),
+)
 
 
 def looks_like_text(head: Column) -> Column:
@@ -178,9 +190,9 @@ def looks_like_text(head: Column) -> Column:
 
 
 def kind_from_magic(head: Column) -> Column:
-    raw, out = F.hex(head), F.when(F.octet_length(head) == 0, "file").when(looks_like_text(head), "text").otherwise("binary")
+    out = F.when(F.octet_length(head) == 0, "file").when(looks_like_text(head), "text").otherwise("binary")
     for begin, kind in reversed(MAGIC):
-        out = F.when(F.startswith(raw, F.lit(begin)), kind).otherwise(out)
+        out = F.when(F.startswith(head, F.lit(begin)), kind).otherwise(out)
     return out
 
 
@@ -206,21 +218,30 @@ def svg_size(head: Column) -> Column:
     )
 
 
-def cache_key(path: Column, mtime: Column, size: Column) -> Column:
-    """FNV-1a (64 bits) over the path's bytes, mtime and size as little-endian 8 bytes: 16 hexadecimal digits."""
-    from pyspark.sql import types as T
+def _little_endian(number: Column) -> list[Column]:
+    return [F.shiftright(number, 8 * i).bitwiseAND(F.lit(255).cast("bigint")) for i in range(8)]
 
-    @F.arrow_udf(T.StringType())
-    def key(p, m, s):
-        import pyarrow as pa
 
-        return pa.array([None if None in row else f"{fnv1a(row[0].encode() + row[1].to_bytes(8, 'little', signed=True) + row[2].to_bytes(8, 'little')):016x}" for row in zip(p.to_pylist(), m.to_pylist(), s.to_pylist(), strict=True)], pa.string())
+def cache_key(path: Column, mtime: Column, size: Column) -> Column:
+    """FNV-1a (64 bits) over the path's bytes, mtime and size as little-endian 8 bytes: 16 hexadecimal digits. The hash
+    is folded in two halves of 32 bits, for a product of 64 bits would overflow; the prime is 2**40 + 435."""
+    long = lambda n: F.lit(n).cast("bigint")
+    half, rest = long(0xFFFFFFFF), FNV_PRIME - (1 << 40)
+
+    def fold(acc: Column, byte: Column) -> Column:
+        low = acc["low"].bitwiseXOR(byte)
+        product = low * rest
+        high = acc["high"] * rest + F.shiftright(product, 32) + low * 256
+        return F.struct(high.bitwiseAND(half).alias("high"), product.bitwiseAND(half).alias("low"))
 
-    return key(path, mtime, size)
+    data = F.concat(_bytes_of(path), F.array(*_little_endian(mtime.cast("bigint")), *_little_endian(size.cast("bigint"))))
+    begin = F.struct(long(FNV_BASIS >> 32).alias("high"), long(FNV_BASIS & 0xFFFFFFFF).alias("low"))
+    digits = lambda c: F.lpad(F.hex(c), 8, "0")
+    return F.aggregate(data, begin, fold, lambda acc: F.lower(F.concat(digits(acc["high"]), digits(acc["low"]))))
 
 
 def fnv1a(data: bytes) -> int:
-    h = 0xCBF29CE484222325
+    h = FNV_BASIS
     for b in data:
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
     return h

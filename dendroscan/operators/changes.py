@@ -11,6 +11,13 @@ CHECK, RESCAN = 1, 2
 RESCANNED = ("create", "rename_to", "rename_any", "any")
 CHECKED = ("remove", "rename_from", "modify")
 STATE = ("path", "size", "mtime", "is_dir")
+#: What an entry keeps through updates, where a state has it.
+KEPT = ("flags", "name_bytes")
+
+
+def state_of(entries: DataFrame) -> DataFrame:
+    """The state (path, size, mtime, is_dir, and what is kept) of entries."""
+    return entries.select(T.path_of(F.col("dir_path"), F.col("name")).alias("path"), *STATE[1:], *[c for c in KEPT if c in entries.columns])
 
 
 def touch(kind: Column, nth: Column) -> Column:
@@ -91,12 +98,16 @@ def _removed_below(state: DataFrame, dirs: DataFrame) -> DataFrame:
 
 def apply(state: DataFrame, changes: DataFrame) -> DataFrame:
     """The state (path, size, mtime, is_dir) after changes (seq, op, path, size, mtime, is_dir). Of a path's changes
-    the last wins; removing a directory removes what is below it, but for what comes after."""
+    the last wins; removing a directory removes what is below it, but for what comes after. Where the state has flags or
+    raw names, an updated path keeps its own, and a new one has null."""
     last = last_per_path(changes)
-    kept = state.select(*STATE).join(last.select("path"), "path", "left_anti").withColumn("seq", F.lit(-1).cast("bigint"))
+    extra = [c for c in KEPT if c in state.columns]
+    kept = state.select(*STATE, *extra).join(last.select("path"), "path", "left_anti").withColumn("seq", F.lit(-1).cast("bigint"))
     new = last.where("op = 'upsert'").select(*STATE, "seq")
+    if extra:
+        new = new.join(state.select("path", *extra), "path", "left")
     dirs = changes.where("op = 'remove_dir'").groupBy("path").agg(F.max("seq").alias("seq"))
-    return _removed_below(kept.unionByName(new), dirs).select(*STATE)
+    return _removed_below(kept.unionByName(new), dirs).select(*STATE, *extra)
 
 
 def outcome(state: DataFrame, changes: DataFrame) -> DataFrame:
@@ -111,7 +122,9 @@ def outcome(state: DataFrame, changes: DataFrame) -> DataFrame:
 def as_entries(state: DataFrame) -> DataFrame:
     """Entries of a state; ids by hash of the path."""
     path = F.col("path")
-    return state.select(F.xxhash64(path).alias("id"), T.parent_of(path).alias("dir_path"), T.file_name(path).alias("name"), T.depth_of(T.parent_of(path)).alias("depth"), "size", "mtime", "is_dir")
+    extra = [c for c in KEPT if c in state.columns]
+    raw = F.col("name_bytes") if "name_bytes" in extra else F.lit(None).cast("binary")
+    return state.select(T.id_of(path, T.file_name(path), raw).alias("id"), T.parent_of(path).alias("dir_path"), T.file_name(path).alias("name"), T.depth_of(T.parent_of(path)).alias("depth"), "size", "mtime", "is_dir", *extra)
 
 
 def numbered(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import stat
 import struct
 import subprocess
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,19 @@ SCHEMA = (
     "kind string, content string, truncated boolean, lines int, width int, height int, pages int, "
     "meta struct<path:string,size:bigint,mtime:bigint,mode:int,owner:string,kind:string,is_dir:boolean>, error string"
 )
-#: Icons by MIME type or its first part.
-ICONS = {"application/pdf": "x-office-document", "text": "text-x-generic", "image": "image-x-generic", "audio": "audio-x-generic", "video": "video-x-generic"}
-PACKED = {"application/zip", "application/gzip", "application/x-tar", "application/x-xz", "application/x-bzip2"}
+#: Icons by MIME type or its first part, and by extension where these name none.
+ICONS = {
+    "image": "image-x-generic-symbolic", "audio": "audio-x-generic-symbolic", "video": "video-x-generic-symbolic",
+    "application/pdf": "application-pdf-symbolic", "text": "text-x-generic-symbolic",
+}
+ICONS_BY_EXTENSION = {
+    "application-pdf-symbolic": "pdf",
+    "image-x-generic-symbolic": "png jpg jpeg gif webp svg bmp tiff ico",
+    "audio-x-generic-symbolic": "mp3 ogg oga opus flac wav m4a aac aiff aif",
+    "video-x-generic-symbolic": "mp4 mkv webm avi",
+    "package-x-generic-symbolic": "zip tar gz 7z rar",
+}
+FOLDER_ICON, OTHER_ICON = "folder-symbolic", "text-x-generic-symbolic"
 
 
 @dataclass(frozen=True)
@@ -36,16 +47,19 @@ def mime_of(name: str) -> str | None:
     return {"gzip": "application/gzip", "xz": "application/x-xz", "bzip2": "application/x-bzip2"}.get(encoding, kind)
 
 
-def icon_of(mime: str | None) -> str:
-    if mime in PACKED:
-        return "package-x-generic"
-    return ICONS.get(mime or "") or ICONS.get((mime or "").split("/")[0], "unknown")
+def icon_of(mime: str | None, ext: str | None = None, is_dir: bool = False) -> str:
+    if is_dir:
+        return FOLDER_ICON
+    found = ICONS.get(mime or "") or ICONS.get((mime or "").split("/")[0])
+    return found or next((icon for icon, names in ICONS_BY_EXTENSION.items() if ext in names.split()), OTHER_ICON)
 
 
 def mime_types(spark: SparkSession) -> DataFrame:
     """(ext, mime, icon) for all extensions that the standard library knows: about a thousand rows."""
     table = {e.lstrip("."): m for e, m in mimetypes.types_map.items()} | {"gz": "application/gzip", "xz": "application/x-xz", "bz2": "application/x-bzip2"}
-    return spark.createDataFrame([(e, m, icon_of(m)) for e, m in sorted(table.items())], "ext string, mime string, icon string")
+    known = {e for names in ICONS_BY_EXTENSION.values() for e in names.split()}
+    rows = [(e, table.get(e), icon_of(table.get(e), e)) for e in sorted({*table, *known})]
+    return spark.createDataFrame(rows, "ext string, mime string, icon string")
 
 
 def looks_like_text(head: bytes) -> bool:
@@ -60,7 +74,7 @@ def looks_like_text(head: bytes) -> bool:
 
 def kind_from_magic(head: bytes) -> str:
     for begin, kind in MAGIC:
-        if head.startswith(bytes.fromhex(begin)):
+        if head.startswith(begin):
             return kind
     return "file" if not head else "text" if looks_like_text(head) else "binary"
 
@@ -129,10 +143,17 @@ def cache_key(path: str, mtime: int, size: int) -> str:
     return f"{fnv1a(os.fsencode(path) + mtime.to_bytes(8, 'little', signed=True) + size.to_bytes(8, 'little')):016x}"
 
 
+@lru_cache(maxsize=1)
+def _owners(changed: float) -> dict[str, str]:
+    """Names by number, read once for each state of the file."""
+    with open("/etc/passwd", encoding="utf-8", errors="replace") as f:
+        rows = [line.split(":") for line in f]
+    return {x[2]: x[0] for x in reversed(rows) if len(x) > 2}
+
+
 def owner_name(uid: int) -> str:
     try:
-        with open("/etc/passwd", encoding="utf-8", errors="replace") as f:
-            return next((x[0] for x in (line.split(":") for line in f) if len(x) > 2 and x[2] == str(uid)), str(uid))
+        return _owners(os.stat("/etc/passwd").st_mtime).get(str(uid), str(uid))
     except OSError:
         return str(uid)
 

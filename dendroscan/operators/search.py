@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -16,22 +17,24 @@ HIT = ("id", "path", "name", "size", "mtime", "is_dir", "score")
 
 @dataclass
 class SearchResults:
-    """``hits`` in order. ``total``, ``truncated`` and ``scanned`` are known once the hits have been computed: one
-    pass over the entries gives all."""
+    """``hits`` in order. ``total`` and ``truncated`` are known once the hits have been computed: the same pass counts the
+    matches. ``scanned``, the entries that were searched, is counted when it is asked for; of a Parquet table that
+    reads no more than the files' footers."""
 
     hits: DataFrame
     query: Query
     limit: int
     seen: Observation | None = None
     error: str | None = None
+    searched: DataFrame | None = None
 
     @property
     def total(self) -> int:
         return int(self.seen.get["total"]) if self.seen else 0
 
-    @property
+    @cached_property
     def scanned(self) -> int:
-        return int(self.seen.get["scanned"]) if self.seen else 0
+        return self.searched.count() if self.searched is not None else 0
 
     @property
     def truncated(self) -> bool:
@@ -43,7 +46,7 @@ def matched(entries: DataFrame, query: Query | str) -> DataFrame:
     q = parse(query) if isinstance(query, str) else query
     if q.empty or q.error:
         return entries.withColumn("score", F.lit(0)).limit(0)
-    test = predicate(q)
+    test = predicate(q, entries.columns)
     if {"sig", "sig2"} <= set(entries.columns) and q.terms:
         test = prefilter(q) & test
     return entries.where(test).withColumn("score", total_score(q))
@@ -64,12 +67,10 @@ def search(entries: DataFrame, query: Query | str, limit: int = 20, count: bool
     if q.empty or q.error:
         return SearchResults(ranked(found, limit), q, limit, error=q.error)
     seen = None
-    if count:
+    if count:  # above the filter, which so reaches the reader
         seen = Observation()
-        test = F.col("score").isNotNull()
-        marked = entries.withColumn("score", F.when(predicate(q), total_score(q)))
-        found = marked.observe(seen, F.count(F.when(test, 1)).alias("total"), F.count(F.lit(1)).alias("scanned")).where(test)
-    return SearchResults(ranked(found, limit), q, limit, seen)
+        found = found.observe(seen, F.count(F.lit(1)).alias("total"))
+    return SearchResults(ranked(found, limit), q, limit, seen, searched=entries)
 
 
 class Typeahead:
@@ -90,7 +91,9 @@ class Typeahead:
             old, self.subset = self.subset, found
             self.query, self.version = q, version
             out = search(found, q, limit)
+            out.searched = base
             if old is not None and old is not found:
+                out.scanned  # noqa: B018 - while the matches before are still there
                 old.unpersist()
             return out
         found.unpersist()

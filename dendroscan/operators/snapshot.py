@@ -1,19 +1,21 @@
 """Versioned snapshots of entries in Parquet, behind any filesystem that Spark knows.
 
-A write goes to a new folder; then a small pointer file names it. Readers follow the pointer, so they never see a
-half-written version, and the version that is being read is never overwritten.
+A write goes to a new folder; then a small pointer file names it. Pointers are numbered and put in place by a rename
+to a new name; readers follow the last one, so they never see a half-written version or none, and the version that is being
+read is never overwritten.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "id long, dir_path string, name string, depth int, size long, mtime long, is_dir boolean, flags int, ext string, sig long, sig2 long"
-VERSION = 1
+SCHEMA = "id long, dir_path string, name string, depth int, size long, mtime long, is_dir boolean, flags int, ext string, sig long, sig2 long, name_bytes binary"
+VERSION = 2
 
 
 class Snapshot:
@@ -24,27 +26,37 @@ class Snapshot:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _pointers(self) -> list[tuple[int, object]]:
+        """(number, path) of the pointers, in order."""
+        fs, p = self._fs(self.folder)
+        names = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(((int(m[1]), x) for x in names if (m := re.fullmatch(r"meta-([0-9]+)\.json", x.getName()))), key=lambda x: x[0])
+
     def meta(self) -> dict:
         """Key-value pairs; empty if there is no snapshot or one of another schema version, which is built anew."""
-        fs, p = self._fs(f"{self.folder}/current.json")
-        if not fs.exists(p):
+        found = self._pointers()
+        if not found:
             return {}
-        stream = fs.open(p)
+        fs, _ = self._fs(self.folder)
+        stream = fs.open(found[-1][1])
         try:
             got = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
         return got if got.get("schema_version") == VERSION else {}
 
-    def set_meta(self, **pairs) -> None:
+    def set_meta(self, keep: int = 3, **pairs) -> None:
         got = {"schema_version": VERSION} | self.meta() | pairs
-        fs, p = self._fs(f"{self.folder}/current.json")
-        new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current.json.new")
+        old = self._pointers()
+        number = old[-1][0] + 1 if old else 1
+        fs, new = self._fs(f"{self.folder}/meta-{number:09}.json.new")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(got), "utf-8"))
         out.close()
-        fs.delete(p, False)
-        fs.rename(new, p)
+        if not fs.rename(new, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/meta-{number:09}.json")):
+            raise OSError(f"{self.folder}: another writer has put pointer {number} there")
+        for _, path in old[: 1 - keep or None]:
+            fs.delete(path, False)
 
     @property
     def version(self) -> int:
@@ -58,11 +70,15 @@ class Snapshot:
 
     def write(self, entries: DataFrame, files: int | None = None, keep: int = 2, **meta) -> int:
         """Writes entries as the next version, sorted by directory so that paths compress and prune, and drops all
-        but the last ``keep`` versions."""
+        but the last ``keep`` versions. What the names and kinds say of the flags is set anew, links stay links; names that
+        aren't UTF-8 keep their bytes."""
         from ..functions import text as T
 
         new = self.version + 1
-        extra = {"flags": T.flags_of(F.col("name"), F.col("is_dir"), F.lit(False)), "ext": T.extension(F.col("name")), "sig": T.signature(F.col("name")), "sig2": T.signature2(F.col("name"))}
+        link = F.coalesce(F.col("flags"), F.lit(0)).bitwiseAND(F.lit(T.SYMLINK)) != 0 if "flags" in entries.columns else F.lit(False)
+        raw = F.when(F.col("name_bytes") != F.encode("name", "UTF-8"), F.col("name_bytes")) if "name_bytes" in entries.columns else F.lit(None)
+        entries = entries.withColumns({"flags": T.flags_of(F.col("name"), F.col("is_dir"), link), "name_bytes": raw})
+        extra = {"ext": T.extension(F.col("name")), "sig": T.signature(F.col("name")), "sig2": T.signature2(F.col("name"))}
         df = entries.withColumns({k: v for k, v in extra.items() if k not in entries.columns})
         df = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMA.split(", ")])
         df = df.repartitionByRange(files, "dir_path", "name") if files else df.repartitionByRange("dir_path", "name")

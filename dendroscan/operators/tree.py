@@ -20,12 +20,11 @@ def ancestors(entries: DataFrame) -> DataFrame:
 def paths_from_nodes(spark: SparkSession, dirs: DataFrame, levels: int = 1000) -> DataFrame:
     """Paths of parent-pointer nodes (id, parent, name), by a recursive query: ``id``, ``path``, ``depth``. Nodes
     that no root reaches are left out."""
-    view = f"nodes_{abs(hash(dirs))}"
-    dirs.createOrReplaceTempView(view)
     return spark.sql(
         f"WITH RECURSIVE tree(id, path, depth) MAX RECURSION LEVEL {levels} AS ("
-        f"SELECT id, CASE WHEN name = '' THEN '/' ELSE concat('/', name, '/') END, CASE WHEN name = '' THEN 0 ELSE 1 END FROM {view} WHERE parent IS NULL "
-        f"UNION ALL SELECT d.id, concat(t.path, d.name, '/'), t.depth + 1 FROM tree t JOIN {view} d ON d.parent = t.id) SELECT id, path, depth FROM tree"
+        "SELECT id, CASE WHEN name = '' THEN '/' ELSE concat('/', name, '/') END, CASE WHEN name = '' THEN 0 ELSE 1 END FROM {nodes} WHERE parent IS NULL "
+        "UNION ALL SELECT d.id, concat(t.path, d.name, '/'), t.depth + 1 FROM tree t JOIN {nodes} d ON d.parent = t.id) SELECT id, path, depth FROM tree",
+        nodes=dirs,
     )
 
 
@@ -51,3 +50,14 @@ def frontier(paths: list[tuple[str, int]], budget: int, most: int = 512, roots:
         else:
             left.append(path)
     return watched, left if len(left) <= most else list(roots)
+
+
+def unwatched(dirs: DataFrame, budget: int, most: int = 512, roots: tuple[str, ...] = ("/",)) -> list[str]:
+    """Roots of the subtrees beyond a budget of directories in pre-order; what frontier() gives, without the listing on
+    the driver. ``dirs``: (path with its final slash, parent). More than ``most`` such subtrees are the roots as a whole."""
+    first = dirs.select("path").orderBy("path").offset(budget).limit(1).first()
+    if first is None:
+        return []
+    beyond = dirs.where((F.col("path") >= first.path) & (F.col("parent").isNull() | (F.col("parent") < first.path)))
+    left = [r.path for r in beyond.select("path").orderBy("path").limit(most + 1).collect()]
+    return left if len(left) <= most else list(roots)

@@ -181,8 +181,12 @@ def under_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A log parted in two at an event number."""
-    return changes.where("seq <= 5000"), changes.where("seq > 5000")
+    """A log parted in two at half of its last number."""
+    at = changes.agg((F.max("seq") / 2).cast("bigint").alias("at")).first()["at"] or 0
+    return changes.where(F.col("seq") <= at), changes.where(F.col("seq") > at)
+
+
+_AT = "(SELECT max(event_id) // 2 FROM events)"
 
 
 _LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS rn FROM ({}) c WHERE {}) r WHERE rn = 1)"
@@ -198,7 +202,7 @@ def find_batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def touched_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _cut(view(spark, sf_dir, "v_changes"))
     entries = before.select(F.col("seq").alias("id"), T.parent_of(F.col("path")).alias("dir_path"))
-    return C.touched(entries, after.where("seq <= 5200"))
+    return C.touched(entries, after)
 
 
 def _fs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +248,8 @@ def event_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.outcome(C.replay(before), _with_dir_removals(after))
 
 
-_STATE = f"(SELECT path, size, mtime, is_dir FROM {_LAST.format(_CH, 'seq <= 5000')} s WHERE op = 'upsert')"
-_LATE = f"(SELECT seq, CASE WHEN seq % 100 = 0 THEN 'remove_dir' ELSE op END AS op, CASE WHEN seq % 100 = 0 THEN regexp_replace(path, '/[^/]+$', '') ELSE path END AS path, size, mtime, seq % 100 = 0 AS is_dir FROM ({_CH}) c WHERE seq > 5000)"
+_STATE = f"(SELECT path, size, mtime, is_dir FROM {_LAST.format(_CH, f'seq <= {_AT}')} s WHERE op = 'upsert')"
+_LATE = f"(SELECT seq, CASE WHEN seq % 100 = 0 THEN 'remove_dir' ELSE op END AS op, CASE WHEN seq % 100 = 0 THEN regexp_replace(path, '/[^/]+$', '') ELSE path END AS path, size, mtime, seq % 100 = 0 AS is_dir FROM ({_CH}) c WHERE seq > {_AT})"
 _LATE_LAST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS rn FROM {_LATE} l) r WHERE rn = 1)"
 _AFTER = (
     f"(SELECT n.path, n.size, n.mtime, n.is_dir FROM (SELECT path, size, mtime, is_dir, -1 AS seq FROM {_STATE} s WHERE path NOT IN (SELECT path FROM {_LATE} l) "
@@ -285,6 +289,34 @@ def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_orders").select("id", T.human_size(F.col("size")).alias("cli"), T.human_size(F.col("size"), ("B", "KB", "MB", "GB", "TB")).alias("gui"))
 
 
+def human_size_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth size lies halfway between two decimals."""
+    return view(spark, sf_dir, "v_part").select("id", T.human_size(F.col("id") * 256).alias("cli"))
+
+
+def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a counting search says beside its hits: matches, and entries searched."""
+    entries, rows = view(spark, sf_dir, "v_orders"), []
+    for text in COUNTED:
+        got = S.search(entries, text, 5)
+        got.hits.collect()
+        rows.append((text, got.total, got.scanned, got.truncated))
+    return spark.createDataFrame(rows, "query string, total long, scanned long, truncated boolean")
+
+
+COUNTED = ("order_1", "ext:pdf", "size:>20mb order", "zzzqqq")
+
+
+def _with_links(log: DataFrame) -> DataFrame:
+    """The state that a log leaves, every seventh entry a link."""
+    return C.replay(log).withColumn("flags", F.when(F.col("mtime") % 7 == 0, T.SYMLINK).otherwise(0))
+
+
+def apply_events_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _cut(view(spark, sf_dir, "v_changes"))
+    return C.apply(_with_links(before), after).withColumn("flags", F.coalesce("flags", F.lit(0)))
+
+
 def _human_sql(units: tuple[str, ...]) -> str:
     out = f"CASE WHEN size < 1024 THEN concat(size, ' {units[0]}')"
     for power, unit in enumerate(units[1:], 1):
@@ -311,13 +343,15 @@ _CACHE_KEY_SQL = (
 
 
 def text_preview_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.preview import Limits
+
     t = F.col("text")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.line_count(t).alias("lines"), T.truncate_utf8(t, 1000).alias("head"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.line_count(t).alias("lines"), T.truncate_utf8(t, Limits().text_bytes).alias("head"))
 
 
 def magic_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    begins = F.element_at(F.array(*[F.lit(m) for m, _ in T.MAGIC], F.lit("00"), F.lit("")), (F.col("page_id") % 12 + 1).cast("int"))
-    head = F.concat(F.unhex(begins), F.encode(F.left(F.col("html"), F.lit(12)), "UTF-8"))
+    begins = F.element_at(F.array(*[F.lit(m) for m, _ in T.MAGIC], F.lit(b"\0"), F.lit(b"")), (F.col("page_id") % 12 + 1).cast("int"))
+    head = F.concat(begins, F.encode(F.left(F.col("html"), F.lit(12)), "UTF-8"))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.kind_from_magic(head).alias("kind"))
 
 
@@ -328,10 +362,11 @@ def svg_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mime_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.preview import mime_types
+    from ..operators.preview import FOLDER_ICON, OTHER_ICON, mime_types
 
     e = view(spark, sf_dir, "v_part").withColumn("ext", T.extension(F.col("name")))
-    return e.join(F.broadcast(mime_types(spark)), "ext", "left").select("id", "mime", "icon")
+    icon = F.when(F.col("is_dir"), FOLDER_ICON).otherwise(F.coalesce("icon", F.lit(OTHER_ICON))).alias("icon")
+    return e.join(F.broadcast(mime_types(spark)), "ext", "left").select("id", "mime", icon)
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +375,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_hits(_search(spark, sf_dir, "v_part", "ring", 20))
 
 
-_PLAIN = (total_truncated, refined_search, signature_prefilter, signatures, dirs_from_paths, dir_paths_recursive, subtree, pruned_listing, under_roots, find_batch_lookup, touched_dirs, coalesce_window, overflow_windows, rename_pairs, snapshot_diff, apply_events, remove_subtree, event_outcome, index_stats, scan_stats, garbage_ratio, bench_percentiles, crossing_ratio, name_parts, human_size, formats, cache_key, text_preview_lines, magic_kind, svg_size, mime_map, json_lines)
+_PLAIN = (total_truncated, refined_search, signature_prefilter, signatures, dirs_from_paths, dir_paths_recursive, subtree, pruned_listing, under_roots, find_batch_lookup, touched_dirs, coalesce_window, overflow_windows, rename_pairs, snapshot_diff, apply_events, remove_subtree, event_outcome, index_stats, scan_stats, garbage_ratio, bench_percentiles, crossing_ratio, name_parts, human_size, human_size_ties, search_totals, apply_events_flags, formats, cache_key, text_preview_lines, magic_kind, svg_size, mime_map, json_lines)
 
 
 def queries() -> dict:
@@ -364,8 +399,8 @@ def oracle_sql() -> dict[str, str]:
         "subtree": f"SELECT id, dir_path, name FROM {part} WHERE starts_with(dir_path, '/parts/small/')",
         "pruned_listing": f"SELECT path, CAST(depth AS INTEGER) AS depth FROM {_DIRS} d WHERE NOT list_has_any(string_split(path, '/'), ['en', 'fr'])",
         "under_roots": f"SELECT id, dir_path FROM {orders} WHERE starts_with(dir_path, '/f/urgent/') OR starts_with(dir_path, '/o/')",
-        "find_batch_lookup": f"SELECT c.seq, c.path, coalesce(e.id, -1) AS entry_id FROM ({_CH}) c LEFT JOIN (SELECT path, min(seq) AS id FROM ({_CH}) b WHERE seq <= 5000 GROUP BY path) e USING (path) WHERE c.seq > 5000",
-        "touched_dirs": f"SELECT seq AS id, regexp_extract(path, '^(.*/)', 1) AS dir_path FROM ({_CH}) c WHERE seq <= 5000 AND regexp_extract(path, '^(.*/)', 1) IN (SELECT regexp_extract(path, '^(.*/)', 1) FROM ({_CH}) d WHERE seq > 5000 AND seq <= 5200)",
+        "find_batch_lookup": f"SELECT c.seq, c.path, coalesce(e.id, -1) AS entry_id FROM ({_CH}) c LEFT JOIN (SELECT path, min(seq) AS id FROM ({_CH}) b WHERE seq <= {_AT} GROUP BY path) e USING (path) WHERE c.seq > {_AT}",
+        "touched_dirs": f"SELECT seq AS id, regexp_extract(path, '^(.*/)', 1) AS dir_path FROM ({_CH}) c WHERE seq <= {_AT} AND regexp_extract(path, '^(.*/)', 1) IN (SELECT regexp_extract(path, '^(.*/)', 1) FROM ({_CH}) d WHERE seq > {_AT})",
         "coalesce_window": f"SELECT {day} AS window_start, path, max({touch}) AS touch FROM {fs} WHERE NOT overflow AND {touch} IS NOT NULL GROUP BY 1, 2",
         "overflow_windows": f"SELECT {day} AS window_start, bool_or(overflow) AS overflow FROM {fs} GROUP BY 1",
         "rename_pairs": f"SELECT w AS window_start, count(*) FILTER (a AND b) AS pairs, count(*) FILTER (NOT (a AND b)) AS halves FROM (SELECT {day} AS w, tracker, bool_or(kind = 'rename_from') AS a, bool_or(kind = 'rename_to') AS b FROM {fs} WHERE tracker IS NOT NULL AND NOT overflow GROUP BY 1, 2) s GROUP BY 1",
@@ -380,12 +415,15 @@ def oracle_sql() -> dict[str, str]:
         "crossing_ratio": f"SELECT avg(CASE WHEN ends_with(dir_path, '7/') AND NOT contains(dir_path, 'small/') THEN 1.0::DOUBLE ELSE 0 END) AS crossing FROM (SELECT DISTINCT dir_path FROM {part}) d",
         "name_parts": f"SELECT id, translate(name, '{T.UPPER}', '{T.LOWER}') AS folded, CASE WHEN contains(name, '.') THEN translate(regexp_extract(name, '[^.]*$'), '{T.UPPER}', '{T.LOWER}') END AS ext, CASE WHEN contains(name, '.') THEN length(name) - instr(reverse(name), '.') END AS stem, CAST(least(depth * 16 + strlen(name), 65535) AS BIGINT) AS plen, dir_path AS parent, name AS file, CAST(CASE WHEN starts_with(name, '.') THEN 8 ELSE 0 END AS INTEGER) AS flags FROM {docs}",
         "human_size": f"SELECT id, {_human_sql(('B', 'K', 'M', 'G', 'T'))} AS cli, {_human_sql(('B', 'KB', 'MB', 'GB', 'TB'))} AS gui FROM {orders}",
+        "human_size_ties": f"SELECT id, {_human_sql(('B', 'K', 'M', 'G', 'T'))} AS cli FROM (SELECT id, id * 256 AS size FROM {part}) p",
+        "search_totals": " UNION ALL ".join(f"SELECT {_quote(t)} AS query, count(*) FILTER ({where_sql(parse(t))}) AS total, count(*) AS scanned, count(*) FILTER ({where_sql(parse(t))}) > 5 AS truncated FROM {orders}" for t in COUNTED),
+        "apply_events_flags": f"SELECT s.path, s.size, s.mtime, s.is_dir, CAST(CASE WHEN b.mtime % 7 = 0 THEN {T.SYMLINK} ELSE 0 END AS INTEGER) AS flags FROM {_LAST.format(_CH, 'true')} s LEFT JOIN {_STATE} b USING (path) WHERE s.op = 'upsert'",
         "formats": f"SELECT id, concat({', '.join(f'CASE WHEN (id % 512) & {1 << 8 - i} <> 0 THEN {_quote(chr(120) if i % 3 == 2 else chr(119) if i % 3 else chr(114))} ELSE {_quote(chr(45))} END' for i in range(9))}) AS mode, printf('%d:%02d', (size * 100000 // 1000000) // 60, (size * 100000 // 1000000) % 60) AS clock, CASE WHEN length(name) > 12 THEN concat(left(name, 11), '…') ELSE name END AS short FROM {docs}",
         "cache_key": _CACHE_KEY_SQL,
-        "text_preview_lines": "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS INTEGER) AS lines, left(text, list_max(list_filter(range(0, 1001), lambda n: strlen(left(text, n)) <= 1000))) AS head FROM documents",
+        "text_preview_lines": "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS INTEGER) AS lines, CASE WHEN strlen(text) <= 65536 THEN text ELSE decode(unhex(left(hex(encode(text)), 2 * (65536 - list_min(list_filter([0, 1, 2, 3], lambda k: substring(hex(encode(text)), 2 * (65536 - k) + 1, 1) NOT IN ('8', '9', 'A', 'B'))))))) END AS head FROM documents",
         "magic_kind": f"SELECT page_id, {kinds}[page_id % 12 + 1] AS kind FROM pages",
         "svg_size": "SELECT page_id, CAST(CASE WHEN page_id % 3 < 2 THEN page_id ELSE 0 END AS INTEGER) AS width, CAST(CASE page_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 9 ELSE 0 END AS INTEGER) AS height FROM pages",
-        "mime_map": f"SELECT id, CASE WHEN is_dir THEN NULL WHEN ends_with(name, '.pdf') THEN 'application/pdf' WHEN ends_with(name, '.JPG') THEN 'image/jpeg' ELSE 'application/gzip' END AS mime, CASE WHEN is_dir THEN NULL WHEN ends_with(name, '.pdf') THEN 'x-office-document' WHEN ends_with(name, '.JPG') THEN 'image-x-generic' ELSE 'package-x-generic' END AS icon FROM {part}",
+        "mime_map": f"SELECT id, CASE WHEN is_dir THEN NULL WHEN ends_with(name, '.pdf') THEN 'application/pdf' WHEN ends_with(name, '.JPG') THEN 'image/jpeg' ELSE 'application/gzip' END AS mime, CASE WHEN is_dir THEN 'folder-symbolic' WHEN ends_with(name, '.pdf') THEN 'application-pdf-symbolic' WHEN ends_with(name, '.JPG') THEN 'image-x-generic-symbolic' ELSE 'package-x-generic-symbolic' END AS icon FROM {part}",
         "json_lines": f"SELECT CAST(json_object('path', path, 'size', size, 'modified', mtime, 'directory', is_dir) AS VARCHAR) AS line FROM ({search_sql('v_part', 'ring', 20)}) h",
     }
 

@@ -47,15 +47,16 @@ def score(term: Term) -> Column:
     )
 
 
-def predicate(q: Query) -> Column:
-    """Conjuncts on plain columns first; these reach the Parquet reader."""
+def predicate(q: Query, stored: tuple[str, ...] | list[str] = ()) -> Column:
+    """Conjuncts on plain columns first; these reach the Parquet reader. ``stored``: columns that the entries have; the
+    extension is taken from there rather than from the name."""
     tests = []
     if q.kind:
         tests.append(F.col("is_dir") if q.kind == "dir" else ~F.col("is_dir"))
     if q.size:
         tests.append(OPS[q.size[0]](F.col("size"), F.lit(q.size[1]).cast("bigint")))
     if q.exts:
-        tests.append(T.extension(F.col("name")).isin(*q.exts))
+        tests.append((F.col("ext") if "ext" in stored else T.extension(F.col("name"))).isin(*q.exts))
     tests += [matches(t) for t in q.terms]
     if q.regex:
         tests.append(F.rlike(T.path_of(F.col("dir_path"), F.col("name")) if q.regex_on_path else F.col("name"), F.lit(q.regex)))

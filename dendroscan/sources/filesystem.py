@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import DIR, HIDDEN, SYMLINK
+from ..functions.text import DIR, HIDDEN, SYMLINK, id_of
 
 SCHEMA = "path string, dir_path string, name string, name_bytes binary, depth int, size long, mtime long, is_dir boolean, is_symlink boolean, flags int, error boolean"
 
@@ -97,10 +97,10 @@ class TreeSource(DataSource):
 
 def scan(spark: SparkSession, roots: list[str], exclude_names: list[str] = (), exclude_paths: list[str] = ()) -> DataFrame:
     """Entries below the roots, each path once though roots overlap; ``id`` is a hash of the path. Names that aren't
-    UTF-8 keep their bytes in name_bytes."""
+    UTF-8 keep their bytes in name_bytes, and stay apart though they look alike."""
     spark.dataSource.register(TreeSource)
     df = spark.read.format("tree").options(roots="\n".join(roots), exclude_names="\n".join(exclude_names), exclude_paths="\n".join(exclude_paths)).load()
-    return df.where("name <> ''").dropDuplicates(["path"]).withColumn("id", F.xxhash64("path"))
+    return df.where("name <> ''").dropDuplicates(["path", "name_bytes"]).withColumn("id", id_of(F.col("path"), F.col("name"), F.col("name_bytes")))
 
 
 def scan_errors(spark: SparkSession, roots: list[str]) -> DataFrame:

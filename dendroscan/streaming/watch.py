@@ -2,13 +2,16 @@
 
 Each micro-batch is one processing-time window: its events are coalesced by path, the touched paths are looked at
 again, and what has changed is merged into the next version of the snapshot. A batch that reports lost events scans
-everything anew. Looking again makes late, repeated and disordered events harmless, so there is no watermark, and a
+everything anew. Directories beyond the watch budget send no events: their subtrees are scanned from time to time and
+compared. Looking again makes late, repeated and disordered events harmless, so there is no watermark, and a
 batch that runs a second time changes nothing.
 """
 
 from __future__ import annotations
 
 import os
+import threading
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import changes as C
+from ..operators import tree
 from ..operators.snapshot import Snapshot
 from ..sources import filesystem
 
@@ -27,6 +31,7 @@ class Status:
     batches: int = 0
     events: int = 0
     reindexed: int = 0
+    rescans: int = 0
     pairs: int = 0
     halves: int = 0
     unwatched: list[str] = field(default_factory=list)
@@ -80,46 +85,93 @@ def resolve(state: DataFrame, touches: DataFrame, roots: list[str], excluded: li
 
 
 class Watcher:
-    """A streaming query that merges changes into a snapshot."""
+    """A streaming query that merges changes into a snapshot.
 
-    def __init__(self, spark: SparkSession, snapshot: Snapshot, roots: list[str], excluded: list[str] = (), exclude_paths: list[str] = ()):
+    ``excluded`` names aren't followed but are in the index; ``scan_excludes`` aren't in the index either, nor are
+    ``exclude_paths``. Of the directories that are followed, in pre-order, only ``budget`` can be; status.unwatched has the
+    roots of the others, which are looked through every ``rescan_s`` seconds.
+    """
+
+    def __init__(self, spark: SparkSession, snapshot: Snapshot, roots: list[str], excluded: list[str] = (), exclude_paths: list[str] = (), scan_excludes: list[str] = (), budget: int = 400_000, rescan_s: float = 600.0):
         self.spark, self.snapshot, self.roots = spark, snapshot, [os.path.realpath(r) for r in roots]
-        self.excluded, self.exclude_paths = list(excluded), list(exclude_paths)
+        self.excluded, self.exclude_paths, self.scan_excludes = list(excluded), list(exclude_paths), list(scan_excludes)
+        self.budget, self.rescan_s = budget, rescan_s
         self.status, self.query = Status(), None
+        self._lock, self._ended, self._last_rescan = threading.RLock(), threading.Event(), time.monotonic()
 
     def reindex(self) -> None:
-        self.snapshot.write(filesystem.scan(self.spark, self.roots, self.excluded, self.exclude_paths), roots=self.roots)
+        self.snapshot.write(filesystem.scan(self.spark, self.roots, self.scan_excludes, self.exclude_paths), roots=self.roots)
+
+    def register(self) -> None:
+        """Finds what is beyond the budget: at the start, and after a scan of everything."""
+        entries = self.snapshot.read().where("is_dir")
+        path = F.concat(T.path_of(F.col("dir_path"), F.col("name")), F.lit("/"))
+        dirs = entries.where(T.watchable(path, self.excluded)).select(path.alias("path"), F.col("dir_path").alias("parent"))
+        roots = self.spark.createDataFrame([(f"{r.rstrip('/')}/", None) for r in self.roots], "path string, parent string")
+        found = tree.unwatched(roots.unionByName(dirs).dropDuplicates(["path"]), self.budget, roots=tuple(self.roots))
+        self.status.unwatched = [p.rstrip("/") or "/" for p in found]
+
+    def rescan(self, now: bool = False) -> None:
+        """Compares the subtrees that aren't watched, if it is time to."""
+        with self._lock:
+            if not self.status.unwatched or not now and time.monotonic() - self._last_rescan < self.rescan_s:
+                return
+            self._last_rescan = time.monotonic()
+            self.status.rescans += 1
+            self._merge(self.spark.createDataFrame([(p, C.RESCAN) for p in self.status.unwatched], "path string, touch int"))
 
-    def batch(self, events: DataFrame, number: int) -> None:
-        events = events.persist()
+    def _merge(self, touches: DataFrame) -> None:
+        state = C.state_of(self.snapshot.read())
+        changes = resolve(state, touches, self.roots, self.excluded).withColumn("seq", F.lit(0).cast("bigint")).persist()
         try:
-            self.status.batches += 1
-            got = events.agg(F.count(F.lit(1)).alias("n"), F.bool_or("overflow").alias("lost")).first()
-            self.status.events += got.n
-            renames = C.rename_pairs(events).first()
-            if renames:
-                self.status.pairs += renames.pairs
-                self.status.halves += renames.halves
-            if got.lost:
-                self.status.reindexed += 1
-                self.reindex()
-                return
-            entries = self.snapshot.read()
-            state = entries.select(T.path_of(F.col("dir_path"), F.col("name")).alias("path"), "size", "mtime", "is_dir")
-            changes = resolve(state, C.coalesce(events), self.roots, self.excluded).withColumn("seq", F.lit(0).cast("bigint")).persist()
             if changes.limit(1).count():
                 self.snapshot.write(C.as_entries(C.apply(state, changes)))
+        finally:
             changes.unpersist()
+
+    def batch(self, events: DataFrame, number: int) -> None:
+        events = events.persist()
+        try:
+            with self._lock:
+                self._batch(events)
         finally:
             events.unpersist()
+        self.rescan()
+
+    def _batch(self, events: DataFrame) -> None:
+        self.status.batches += 1
+        got = events.agg(F.count(F.lit(1)).alias("n"), F.bool_or("overflow").alias("lost")).first()
+        self.status.events += got.n
+        renames = C.rename_pairs(events).first()
+        if renames:
+            self.status.pairs += renames.pairs
+            self.status.halves += renames.halves
+        if got.lost:
+            self.status.reindexed += 1
+            self.reindex()
+            self.register()
+        else:
+            self._merge(C.coalesce(events))
 
     def start(self, events: DataFrame, checkpoint: str, debounce: str | None = "200 milliseconds"):
         """Starts the query; without ``debounce`` it takes what there is and ends."""
+        self.register()
         writer = events.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         self.query = (writer.trigger(processingTime=debounce) if debounce else writer.trigger(availableNow=True)).start()
+        if debounce:
+            self._ended.clear()
+            threading.Thread(target=self._rescan_on_time, daemon=True).start()
         return self.query
 
+    def _rescan_on_time(self) -> None:
+        """Without events there are no batches, but what isn't watched changes all the same."""
+        while not self._ended.wait(min(self.rescan_s, 1.0)):
+            self.rescan()
+
     def stop(self) -> None:
-        if self.query is not None:
-            self.query.stop()
-            self.query = None
+        """Ends the query after the batch that is being merged."""
+        self._ended.set()
+        with self._lock:
+            if self.query is not None:
+                self.query.stop()
+                self.query = None
