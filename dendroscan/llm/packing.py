@@ -50,7 +50,8 @@ def hilbert_index(points, bits: int = BITS):
 
 
 def project(docs, seed: int = 7):
-    """Points on the grid for lists of token ids: hashed signed counts, unit length, fixed Gaussian projection."""
+    """Points on the grid for lists of token ids: hashed signed counts, unit length, fixed Gaussian projection. Such
+    coordinates are normal; the logistic curve, near to their distribution function, spreads them over the grid evenly."""
     import numpy as np
 
     matrix = np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
@@ -62,7 +63,7 @@ def project(docs, seed: int = 7):
     vectors = np.bincount(cell, weights=sign, minlength=len(docs) * BUCKETS).reshape(len(docs), BUCKETS)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     flat = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0) @ matrix
-    return np.clip((flat + 2) / 4 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    return np.minimum((1 << BITS) / (1 + np.exp(-1.702 * flat)), (1 << BITS) - 1).astype(np.int64)
 
 
 def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -83,6 +84,7 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         ids, squeeze, end = library(source), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4")
 
         def rows():
+            unnamed = 0
             for batch in batches:
                 names, found = batch.column(0).to_pylist(), ids.texts(batch.column(1))
                 for at in range(0, len(names), 512):
@@ -90,7 +92,8 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
                     docs = [np.concatenate((x, end)) for x in islice(found, len(some))]
                     curve = hilbert_index(project(docs))
                     for name, doc, index in zip(some, docs, curve.tolist(), strict=True):
-                        tie = xxhash.xxh3_64_intdigest(repr(name)) >> (64 - TIE_BITS)
+                        unnamed += name is None  # documents without an id mustn't all have one place
+                        tie = xxhash.xxh3_64_intdigest(repr(name) if name is not None else f"null {unnamed}") >> (64 - TIE_BITS)
                         blob = squeeze.compress(doc.astype("<u2").tobytes() if doc.max() < 1 << 16 else doc.tobytes())
                         yield name, blob, len(doc), index << TIE_BITS | tie
 

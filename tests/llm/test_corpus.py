@@ -354,6 +354,18 @@ def test_hilbert_curve_steps_by_one():
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_points_fill_the_grid():
+    rng = np.random.default_rng(4)
+    points = packing.project([rng.integers(0, 50_000, 300).astype("<u4") for _ in range(2000)])
+    assert ((points > 0) & (points < 1023)).all() and all(150 < n < 350 for n in np.bincount(points[:, 0] >> 7, minlength=8))
+
+
+def test_documents_without_an_id_are_dealt_out(spark, tokenizer):
+    df = spark.createDataFrame([(None, "same text")] * 400, "doc_id long, text string")
+    keys = {r.key for r in packing._encoded(df, tokenizer, 2, "doc_id", "text").select("key").collect()}
+    assert len(keys) > 90  # of 400, four tasks count to 100
+
+
 def test_packing_of_odd_rows(odd, tokenizer):
     out = packing.pack(odd, tokenizer, length=64).collect()
     assert sum(r.start == 0 for r in out) == 11 and sum(r.length for r in out) == sum(r.doc_tokens for r in out if r.start == 0)
