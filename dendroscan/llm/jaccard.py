@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import at_work, durable, in_batches, met, remembers, rows_of, small_batches, small_side
 from .graph import components
 
-LEVEL = 1.5
+LEVEL, _PART = 1.5, 40
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -152,13 +152,15 @@ def block_count(top: int, num: int, den: int) -> int:
 
 
 def heavy_keys(s, common, num: int, den: int):
-    """Keys of the blocks that stand for a set; common: sorted hashes of frequent elements."""
+    """Keys of the blocks that stand for a set; common: sorted hashes of frequent elements, or all of them their first
+    _PART bits."""
     import numpy as np
 
     need, out = most_apart(len(s), num, den) + 1, []
     usual = np.zeros(len(s), bool)
     if len(common):
-        usual = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        part = s >> np.uint64(64 - _PART) if common[-1] >> np.uint64(_PART) == 0 else s
+        usual = common[np.minimum(np.searchsorted(common, part), len(common) - 1)] == part
     short = False
     for top in _levels(len(s), num, den):
         blocks, found = block_count(top, num, den), 0
@@ -280,7 +282,8 @@ def common_elements(table: DataFrame, documents: int, share: float):
 
 
 def _frequent(texts: DataFrame, k: int, least: int = 8, most: int = 500_000):
-    """Sorted hashes of the elements that ``least`` of some texts have; the ``most`` frequent ones if there are more."""
+    """Sorted upper halves (_PART bits) of the hashes of the elements that ``least`` of some texts have; of the ``most`` frequent
+    ones if there are more. Another element with the same bits changes the cost only."""
     import numpy as np
     import pyarrow as pa
 
@@ -289,7 +292,7 @@ def _frequent(texts: DataFrame, k: int, least: int = 8, most: int = 500_000):
         for batch in batches:
             held = [shingles(t, k) for (t,) in rows_of(batch)]
             if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
+                h, n = np.unique(np.concatenate(held) >> np.uint64(64 - _PART), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

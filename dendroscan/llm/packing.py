@@ -66,7 +66,7 @@ def project(docs, seed: int = 7):
     return np.minimum((1 << BITS) / (1 + np.exp(-1.702 * flat)), (1 << BITS) - 1).astype(np.int64)
 
 
-def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, level: int = 3) -> DataFrame:
     """(id, blob: compressed ids, n: their number, key: place on the curve)."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -81,7 +81,7 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         import zstandard
 
         at_work("tokens")
-        ids, squeeze, end = library(source), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4")
+        ids, squeeze, end = library(source), zstandard.ZstdCompressor(level=level), np.array([end_id], "<u4")
 
         def rows():
             unnamed = 0
@@ -102,20 +102,21 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, blob binary, n long, key long")
 
 
-def pack(df: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, level: int = 3) -> DataFrame:
     """One row per piece: ``id``, ``start`` (tokens of its document before it), ``length``, ``ids`` (binary,
     little-endian uint32), ``doc_tokens`` (with the end id), ``sequence_id``, ``offset`` (in its sequence).
 
     A null text is an empty one: such a document is its end id alone. Null and repeated ids are documents like any
     other; rows alike in id and text are interchangeable. A document of any length is cut as it comes. An empty
-    table gives no pieces; other columns are ignored. Every sequence but the last holds ``length`` tokens.
+    table gives no pieces; other columns are ignored. Every sequence but the last holds ``length`` tokens. Ids are kept and
+    shuffled at Zstandard's ``level``.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = durable(_encoded(small_batches(df), tokenizer, end_id, id_col, text_col))
+    docs = durable(_encoded(small_batches(df), tokenizer, end_id, id_col, text_col, level))
     shares = [i / partitions for i in range(1, partitions)]
     # as many numbers as partitions
     bounds = (docs.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first().b or []) if shares else []
