@@ -45,7 +45,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens. A null or empty text is its end token alone; repeated rows are documents of
     their own; a text of any length is cut as it comes; no rows give no pieces."""
-    return packing.pack(docs, default_tokenizer()).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, default_tokenizer(), level=6).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("secret scans", mask_secrets), ("packing", pack)]
