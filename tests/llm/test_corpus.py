@@ -208,6 +208,45 @@ def test_sets_with_few_blocks_are_listed_by_elements(monkeypatch):
         assert set(jaccard.keys_of(a, common, 85, 100).tolist()) & set(jaccard.keys_of(b, common, 85, 100).tolist())
 
 
+def test_sets_that_meet_by_chance_form_no_cluster(spark, monkeypatch):
+    """Each text shares half its words with the next one: a chain through all of them, in which none are similar."""
+    rng = random.Random(21)
+    parts = [[f"w{rng.randrange(10**6)}" for _ in range(30)] for _ in range(201)]
+    rows = [(i, " ".join(parts[i] + parts[i + 1])) for i in range(200)] + [(200, " ".join([*parts[7], *parts[8], "more"]))]
+    seen = []
+    monkeypatch.setattr(jaccard, "_sized", lambda sets, clusters, sized=jaccard._sized: seen.append(sized(sets, clusters)) or seen[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(df, k=5, num=80, den=100, cluster_in_task=8).collect()}
+    assert got == plain_components(rows, 5, 80, 100) and got[200][1] == 7
+    assert max(r.members for r in seen[0].collect()) <= 8
+
+
+def test_sketches_lose_no_similar_sets():
+    rng = np.random.default_rng(8)
+    for num in (80, 85):
+        sets = []
+        for size in (1, 2, 5, 31, 32, 33, 60, 64, 127, 129, 250, 256, 1000, 3000):
+            base = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+            for _ in range(8):
+                kept = rng.permutation(base)[: max(1, int(size * rng.uniform(num / 100, 1)))]
+                sets.append(np.unique(np.concatenate((kept, rng.integers(0, 1 << 64, int(rng.integers(0, size // 8 + 1)), dtype=np.uint64)))))
+        sets.append(np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64) >> np.uint64(12)))  # all in one range, 1000 modulo 256
+        sets.append(sets[-1][1:])
+        sizes, sketches = np.array([len(s) for s in sets]), [jaccard.sketch(s) for s in sets]
+        row = lambda i: np.frombuffer(sketches[i], np.uint8)[None]
+        root = list(range(len(sets)))
+        for a, b in jaccard.linked_in_list(sizes, sketches, num, 100):
+            root = [root[a] if r == root[b] else r for r in root]
+        similar = 0
+        for i, s in enumerate(sets):
+            for j in range(i):
+                n = len(np.intersect1d(s, sets[j]))
+                if 100 * n >= num * (len(s) + len(sets[j]) - n):
+                    similar += 1
+                    assert root[i] == root[j] and jaccard.may_link(sizes[i], row(i), sizes[j : j + 1], row(j), num, 100).all()
+        assert similar > 40
+
+
 def test_boundary_follows_the_measured_lists():
     found = [jaccard.boundary(85, 100, length) for length in (1.0, 20.0, 400.0, 2000.0)]
     assert found == sorted(found) and found[0] < found[-1] <= 40
