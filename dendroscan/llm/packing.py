@@ -8,6 +8,7 @@ Sequences are cut from the gapless stream of all tokens along the curve, so only
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import islice
 
 from pyspark.sql import DataFrame
@@ -49,6 +50,21 @@ def hilbert_index(points, bits: int = BITS):
     return out
 
 
+def _cells_of(ids):
+    """Twice the bucket of each id, and one more where its sign is positive."""
+    import numpy as np
+
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS * 2 + (mixed >> np.uint64(63)).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _cells():
+    import numpy as np
+
+    return _cells_of(np.arange(1 << 16))
+
+
 def project(docs, seed: int = 7):
     """Points on the grid for lists of token ids: hashed signed counts, unit length, fixed Gaussian projection. Such
     coordinates are normal; the logistic curve, near to their distribution function, spreads them over the grid evenly."""
@@ -56,11 +72,10 @@ def project(docs, seed: int = 7):
 
     matrix = np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    ids = np.concatenate(docs).astype(np.uint64) if len(docs) else np.zeros(0, np.uint64)
-    mixed = ids * np.uint64(0x9E3779B97F4A7C15)
-    cell = np.repeat(np.arange(len(docs)), sizes) * BUCKETS + (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
-    sign = ((mixed >> np.uint64(63)).astype(np.int8) * 2 - 1).astype(np.float64)
-    vectors = np.bincount(cell, weights=sign, minlength=len(docs) * BUCKETS).reshape(len(docs), BUCKETS)
+    ids = np.concatenate(docs) if len(docs) else np.zeros(0, np.uint32)
+    cell = _cells()[ids] if not len(ids) or ids.max() < 1 << 16 else _cells_of(ids)
+    counts = np.bincount(cell + np.repeat(np.arange(len(docs)) * (2 * BUCKETS), sizes), minlength=len(docs) * 2 * BUCKETS).reshape(len(docs), BUCKETS, 2)
+    vectors = (counts[:, :, 1] - counts[:, :, 0]).astype(np.float64)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     flat = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0) @ matrix
     return np.minimum((1 << BITS) / (1 + np.exp(-1.702 * flat)), (1 << BITS) - 1).astype(np.int64)

@@ -436,3 +436,18 @@ def test_pipeline_stages_keep_columns(spark, odd, tokenizer):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_points_of_ids_by_definition():
+    rng = np.random.default_rng(11)
+    for top in (3, 49_000, 1 << 20):
+        docs = [rng.integers(0, top, n, dtype=np.uint32) for n in (1, 7, 900, 0, 40)]
+        matrix = np.random.default_rng(7).standard_normal((packing.BUCKETS, packing.DIMS))
+        for doc, point in zip(docs, packing.project(docs).tolist(), strict=True):
+            vector = np.zeros(packing.BUCKETS)
+            for x in doc.tolist():
+                x = x * 0x9E3779B97F4A7C15 % (1 << 64)
+                vector[(x >> 40) % packing.BUCKETS] += 1 if x >> 63 else -1
+            flat = vector / max(np.linalg.norm(vector), 1e-9) @ matrix
+            assert np.abs(np.array(point) - np.minimum(1024 / (1 + np.exp(-1.702 * flat)), 1023)).max() < 1.01
+    assert len(packing.project([])) == 0  # failed before
