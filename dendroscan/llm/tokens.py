@@ -13,18 +13,107 @@ from .bpe import END_OF_WORD, NOT_SPACE, WordBpe, chunks, pieces
 from .common import at_work, in_batches, remembers, small_batches, tokenizer_source
 
 
+#: Chunks of so many bytes are remembered in arrays: the bytes and their number make two words of 64 bits.
+SHORT = 15
+
+
+def _gathered(flat, begins, sizes):
+    """The runs of ``flat`` that begin at ``begins``, one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Known:
+    """Ids of short chunks by their two words, in a hash table of arrays: many are looked up in one step, and each takes a
+    fraction of the memory that a dictionary of strings does. Words are compared as a whole, so nothing depends on hashes."""
+
+    def __init__(self, room: int = 1 << 12):
+        import numpy as np
+
+        self.n, self.room = 0, room  # room: a power of two
+        self.first, self.second = np.empty(room, np.uint64), np.empty(room, np.uint64)
+        self.ends = np.zeros(room + 1, np.int64)
+        self.ids = np.empty(4 * room, "<u4")
+        self.slots = np.full(2 * room, -1, np.int32)
+
+    def _slot(self, first, second):
+        import numpy as np
+
+        mixed = (first ^ second * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, first, second):
+        """The entry of each chunk, or -1."""
+        import numpy as np
+
+        out, asks, at = np.full(len(first), -1, np.int64), np.arange(len(first)), self._slot(first, second)
+        while len(asks):
+            entry = self.slots[at]
+            same = (entry >= 0) & (self.first[entry] == first) & (self.second[entry] == second)
+            out[asks[same]] = entry[same]
+            on = (entry >= 0) & ~same
+            asks, at, first, second = asks[on], (at[on] + 1) & (len(self.slots) - 1), first[on], second[on]
+        return out
+
+    def _settle(self, low: int) -> None:
+        """Gives a slot to each entry from ``low`` on."""
+        import numpy as np
+
+        entries, at = np.arange(low, self.n, dtype=np.int32), self._slot(self.first[low : self.n], self.second[low : self.n])
+        while len(entries):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entries[free]
+            lost = self.slots[at] != entries
+            entries, at = entries[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def aside(self, ids) -> int:
+        """Where some ids lie in ``ids`` until the next are added."""
+        import numpy as np
+
+        used = int(self.ends[self.n])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[:used], np.empty(max(used // 2, 2 * len(ids)), "<u4")))
+        self.ids[used : used + len(ids)] = ids
+        return used
+
+    def add(self, first, second, sizes, ids):
+        """The new entries of different chunks that aren't there."""
+        import numpy as np
+
+        low, self.n = self.n, self.n + len(first)
+        used = int(self.ends[low])
+        if grown := self.n > self.room:
+            while self.n > self.room:
+                self.room *= 2
+            for name in ("first", "second"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate((old[:low], np.empty(self.room - low, np.uint64))))
+            self.ends = np.concatenate((self.ends[: low + 1], np.zeros(self.room - low, np.int64)))
+            self.slots = np.full(2 * self.room, -1, np.int32)
+        self.first[low : self.n], self.second[low : self.n] = first, second
+        self.ends[low + 1 : self.n + 1] = used + np.cumsum(sizes)
+        end, self.n = self.n, low
+        self.aside(ids)
+        self.n = end
+        self._settle(0 if grown else low)
+        return np.arange(low, self.n)
+
+
 class ChunkIds:
     """Ids of texts, where each word is encoded once while it is remembered.
 
     For a file whose tokens hold no white space and whose words end in a token of their own kind, a text's ids are
-    those of its chunks between white space, and a chunk's those of its words. ``bound`` chunks in each of two
-    generations, and twice as many words, are kept; this bounds memory and changes no result.
+    those of its chunks between white space, and a chunk's those of its words. ``bound`` short chunks in each of two
+    generations, and half as many words and long chunks, are kept; this bounds memory and changes no result.
     """
 
-    def __init__(self, special: list[str], bound: int = 150_000):
+    def __init__(self, special: list[str], bound: int = 300_000):
         self.special, self.bound = special, bound
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new, self.old = _Known(), _Known()
+        self.long: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -35,46 +124,71 @@ class ChunkIds:
         """Ids of a chunk that holds a special token."""
         raise NotImplementedError
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of chunks that aren't remembered."""
-        known, got, asked, waiting = self.words, {}, set(), []
-        if len(known) > 2 * self.bound:
+        known, split, whole = self.words, [], {}
+        if len(known) > self.bound // 2:
             known.clear()
         for c in words:
-            if c.isascii() and c.isalpha():
-                w = c.lower()
-                blob = known.get(w)
-                if blob is None:
-                    asked.add(w)
-                    waiting.append((c, (w,)))
-                else:
-                    got[c] = blob
-            elif "<" in c and any(x in c for x in self.special):
-                got[c] = self.encode_chunk(c)
+            if "<" in c and any(x in c for x in self.special):
+                whole[len(split)] = self.encode_chunk(c)
+                split.append(())
             else:
-                parts = pieces(c)
-                asked.update([w for w in parts if w not in known])
-                waiting.append((c, parts))
-        more = list(asked)
+                split.append((c.lower(),) if c.isascii() and c.isalpha() else pieces(c))
+        more = list({w for parts in split for w in parts if w not in known})
         known.update(zip(more, self.encode_words(more), strict=True))
-        for c, parts in waiting:
-            got[c] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
-        return got
+        out = [known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts]) for parts in split]
+        for at, blob in whole.items():
+            out[at] = blob
+        return out
+
+    def _long(self, words: list[str]) -> list[bytes]:
+        """Ids of some different long chunks."""
+        known = self.long
+        if len(known) > self.bound // 16:
+            known.clear()
+        miss = [w for w in words if w not in known]
+        known.update(zip(miss, self._learn(miss), strict=True))
+        return [known[w] for w in words]
 
-    def _blobs(self, words: list[str]) -> list[bytes]:
-        """Ids of each of some different chunks."""
+    def _places(self, words):
+        """Of some different chunks, an Arrow array: ids, and where in these each chunk's begin and how many there are."""
+        import numpy as np
+        import pyarrow as pa
+
+        if self.new.n > self.bound:
+            self.old, self.new = self.new, _Known()
         new, old = self.new, self.old
-        if len(new) > self.bound:
-            self.old = old = new
-            self.new = new = {}
-        out = [new.get(w) for w in words]
-        miss = [w for w, b in zip(words, out, strict=True) if b is None]
-        if miss:
-            again = {w: b for w in miss if (b := old.get(w)) is not None}
-            new.update(again)
-            new.update(self._learn([w for w in miss if w not in again] if again else miss))
-            out = [new[w] if b is None else b for w, b in zip(words, out, strict=True)]
-        return out
+        words = words.cast(pa.large_string())
+        bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        data = np.concatenate((np.frombuffer(words.buffers()[2] or b"", np.uint8)[: bounds[-1]], np.zeros(16, np.uint8)))
+        eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the 8 bytes from each byte on
+        low = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+        lengths = np.diff(bounds)
+        short = np.flatnonzero(lengths <= SHORT)
+        at, n = bounds[short], lengths[short]
+        first = eights[at] & low[np.minimum(n, 8)]
+        second = eights[np.minimum(at + 8, len(eights) - 1)] & low[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
+        entry = new.find(first, second)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            was = old.find(first[miss], second[miss])
+            again, was, miss = miss[was >= 0], was[was >= 0], miss[was < 0]
+            if len(again):
+                sizes = old.ends[was + 1] - old.ends[was]
+                entry[again] = new.add(first[again], second[again], sizes, _gathered(old.ids, old.ends[was], sizes))
+            for part in np.array_split(miss, -(-len(miss) // 100_000)) if len(miss) else ():  # strings of some at a time
+                blobs = self._learn(words.take(pa.array(short[part])).to_pylist())
+                sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
+                entry[part] = new.add(first[part], second[part], sizes, np.frombuffer(b"".join(blobs), "<u4"))
+        begins, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begins[short], sizes[short] = new.ends[entry], new.ends[entry + 1] - new.ends[entry]
+        if len(short) < len(words):
+            long = np.flatnonzero(lengths > SHORT)
+            blobs = self._long(words.take(pa.array(long)).to_pylist())
+            sizes[long] = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
+            begins[long] = new.aside(np.frombuffer(b"".join(blobs), "<u4")) + np.cumsum(sizes[long]) - sizes[long]
+        return new.ids, begins, sizes
 
     def texts(self, texts, at_once: int = 1000) -> Iterator:
         """Ids of each text, an array of uint32; a null text is an empty one. ``texts``: Arrow strings or a list. Arrow
@@ -97,9 +211,7 @@ class ChunkIds:
             else:
                 split = pc.utf8_split_whitespace(some)
             coded = split.flatten().dictionary_encode()
-            blobs = self._blobs(coded.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
-            flat, begins = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(sizes) - sizes
+            flat, begins, sizes = self._places(coded.dictionary)
             which = coded.indices.to_numpy()
             n = sizes[which]
             ends = np.concatenate(([0], np.cumsum(n)))
@@ -112,7 +224,7 @@ class ChunkIds:
 class LibraryIds(ChunkIds):
     """Words are encoded by the tokenizers library, many at a time; the ends of words part their ids."""
 
-    def __init__(self, source: str, bound: int = 150_000):
+    def __init__(self, source: str, bound: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -165,7 +277,7 @@ class LibraryIds(ChunkIds):
 class AutomatonIds(ChunkIds):
     """Words are encoded along the automaton's paths."""
 
-    def __init__(self, source: str, bound: int = 150_000):
+    def __init__(self, source: str, bound: int = 300_000):
         self.bpe = WordBpe(source)
         super().__init__(list(self.bpe.special), bound)
 

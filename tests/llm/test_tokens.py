@@ -50,6 +50,53 @@ def test_library_words_give_the_same_ids(bpe, tokenizer, small):
     assert [x.tobytes() for x in ids.texts(spaces, at_once=50)] == [bpe.encode(t) for t in spaces]
 
 
+class Counted(tokens.ChunkIds):
+    """A word's ids are its code points; counts the chunks that aren't remembered."""
+
+    asked = 0
+
+    def _learn(self, words):
+        self.asked += len(words)
+        return super()._learn(words)
+
+    def encode_words(self, words):
+        return [np.array([ord(c) for c in w], "<u4").tobytes() for w in words]
+
+
+def test_many_different_chunks_are_learnt_once():
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(250_000)]
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    ids = Counted([])
+    for _ in range(2):
+        for got, text in zip(ids.texts(texts, at_once=50), texts, strict=True):
+            assert "".join(map(chr, got.tolist())) == text.replace(" ", "")
+    assert ids.asked == len(words)
+
+
+def test_chunks_alike_but_for_their_ends(bpe, tokenizer):
+    ids = tokens.LibraryIds(tokens.tokenizer_source(tokenizer), bound=50)
+    chunks = [start + end * n for start in ("a", "abcdefg", "Ab\u00e9") for end in ("\0", "b", "\u00e9") for n in range(20)]
+    texts = ["", None, *chunks, " ".join(chunks), " ".join(reversed(chunks)), *chunks]
+    assert [x.tobytes() for x in ids.texts(texts, at_once=7)] == [bpe.encode(t) for t in texts]
+
+
+def test_table_of_chunks_whose_slots_clash(monkeypatch):
+    monkeypatch.setattr(tokens._Known, "_slot", lambda self, first, second: (first % np.uint64(2)).astype(np.int64) + len(self.slots) - 2)
+    rng, known, want = np.random.default_rng(5), tokens._Known(4), {}
+    for _ in range(6):
+        new = [k for k in {(int(a), int(b)) for a, b in rng.integers(0, 12, (30, 2))} if k not in want]
+        first, second = np.array(new, np.uint64).reshape(-1, 2).T
+        assert (known.find(first, second) < 0).all()
+        sizes = rng.integers(0, 4, len(new))
+        flat = rng.integers(0, 99, sizes.sum()).astype("<u4")
+        known.add(first, second, sizes, flat)
+        known.aside(rng.integers(0, 99, 40).astype("<u4"))
+        want |= {k: x.tolist() for k, x in zip(new, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
+        first, second = np.array(list(want), np.uint64).T
+        entry = known.find(first, second)
+        assert [known.ids[known.ends[e] : known.ends[e + 1]].tolist() for e in entry] == list(want.values())
+
+
 def plain_bpe(word, merges):
     parts = list(word)
     while True:
