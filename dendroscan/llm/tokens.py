@@ -83,23 +83,20 @@ class _Known:
         """The new entries of different chunks that aren't there."""
         import numpy as np
 
-        low, self.n = self.n, self.n + len(first)
-        used = int(self.ends[low])
-        if grown := self.n > self.room:
-            while self.n > self.room:
+        low, end = self.n, self.n + len(first)
+        if grown := end > self.room:
+            while end > self.room:
                 self.room *= 2
             for name in ("first", "second"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate((old[:low], np.empty(self.room - low, np.uint64))))
             self.ends = np.concatenate((self.ends[: low + 1], np.zeros(self.room - low, np.int64)))
             self.slots = np.full(2 * self.room, -1, np.int32)
-        self.first[low : self.n], self.second[low : self.n] = first, second
-        self.ends[low + 1 : self.n + 1] = used + np.cumsum(sizes)
-        end, self.n = self.n, low
-        self.aside(ids)
+        self.first[low:end], self.second[low:end] = first, second
+        self.ends[low + 1 : end + 1] = self.aside(ids) + np.cumsum(sizes)
         self.n = end
         self._settle(0 if grown else low)
-        return np.arange(low, self.n)
+        return np.arange(low, end)
 
 
 class ChunkIds:
@@ -107,7 +104,7 @@ class ChunkIds:
 
     For a file whose tokens hold no white space and whose words end in a token of their own kind, a text's ids are
     those of its chunks between white space, and a chunk's those of its words. ``bound`` short chunks in each of two
-    generations, and half as many words and long chunks, are kept; this bounds memory and changes no result.
+    generations, half as many words and a sixteenth as many long chunks are kept; this bounds memory and changes no result.
     """
 
     def __init__(self, special: list[str], bound: int = 300_000):
@@ -168,7 +165,7 @@ class ChunkIds:
         short = np.flatnonzero(lengths <= SHORT)
         at, n = bounds[short], lengths[short]
         first = eights[at] & low[np.minimum(n, 8)]
-        second = eights[np.minimum(at + 8, len(eights) - 1)] & low[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
+        second = eights[at + 8] & low[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
         entry = new.find(first, second)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
